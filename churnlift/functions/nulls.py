@@ -72,22 +72,25 @@ def null_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "left
     return out.drop("__rk")
 
 
-# Money and quantity aggregates are summed as DECIMAL(38, MONEY_SCALE): line
-# values of the reference's data (2-decimal prices, rates and integer
-# quantities multiplied together) lie exactly on a 6-decimal grid, so the
-# sums are exact and do not depend on summation order — re-executed tasks
-# and other engines produce bit-identical results.  Precision 38 leaves
-# room for sums of ~10^26 currency units, far beyond any single key.
+# Money and quantity aggregates are summed as DECIMAL: line values of the
+# reference's data (2-decimal prices, rates and integer quantities
+# multiplied together) lie exactly on a 6-decimal grid, so the sums are
+# exact and do not depend on summation order — re-executed tasks and other
+# engines produce bit-identical results.  A line value is DECIMAL(18, 6)
+# (up to 10^12 per line, stored as a long: the fast path); Spark widens the
+# sum to DECIMAL(28, 6), room for 10^22 per key, and ANSI mode fails
+# loudly rather than wrapping if that were ever exceeded.
 MONEY_SCALE = 6
+MONEY_PRECISION = 18
 
 
 def money(c, scale: int = MONEY_SCALE) -> Column:
-    return col(c).cast(T.DecimalType(38, scale))
+    return col(c).cast(T.DecimalType(MONEY_PRECISION, scale))
 
 
 def exact_sum(c, scale: int = MONEY_SCALE) -> Column:
     """N5 with exact arithmetic: DECIMAL sum, 0 for an all-NULL group."""
-    return F.coalesce(F.sum(money(c, scale)), F.lit(0).cast(T.DecimalType(38, scale)))
+    return F.coalesce(F.sum(money(c, scale)), F.lit(0).cast(T.DecimalType(MONEY_PRECISION + 10, scale)))
 
 
 def exact_avg(c, scale: int = MONEY_SCALE) -> Column:

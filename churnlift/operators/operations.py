@@ -21,9 +21,13 @@ def with_weekday_hour(ops: DataFrame, date_col: str = "ORDER_DATE", time_col: st
     return ops.withColumns({"WEEKDAY": weekday_name(date_col), "HOUR": hour_of_text_time(time_col)})
 
 
-def valid_customer_operations(ops: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """Valid operations that found a customer through the cleaned lines."""
-    oc = with_weekday_hour(operations_customer(ops, cleaned))
+def valid_customer_operations(ops: DataFrame, cleaned: DataFrame | None, pairs: DataFrame | None = None) -> DataFrame:
+    """Valid operations that found a customer through the cleaned lines
+    (or through already distinct (order, customer) ``pairs``)."""
+    if pairs is not None:
+        oc = with_weekday_hour(ops.join(pairs, on="ORDER_ID", how="left"))
+    else:
+        oc = with_weekday_hour(operations_customer(ops, cleaned))
     return oc.filter((F.col("ORDER_STATE_FINAL") == "Valid") & F.col(CUSTOMER).isNotNull())
 
 

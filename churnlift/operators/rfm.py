@@ -69,6 +69,42 @@ def order_level(valid: DataFrame, row_order=FIRST_ROW_ORDER) -> DataFrame:
                       F.max("ORDER_DATE").alias("ORDER_LAST_DATE")))
 
 
+def order_level_all_states(cleaned: DataFrame, state_col: str = "ORDER_STATE_FINAL", valid: str = "Valid",
+                           row_order=FIRST_ROW_ORDER) -> DataFrame:
+    """One aggregation of *cleaned* lines (every state) per (customer, order)
+    that serves the whole feature table: Valid-only order metrics (as
+    ``order_level``), the Valid line count, and the latest date over all
+    lines (for the reference date).  Its group keys are also the distinct
+    (order, customer) pairs the operations join needs."""
+    v = F.coalesce(F.col(state_col) == valid, F.lit(False))
+
+    def on_valid(c):
+        return F.when(v, F.col(c))
+    first = F.min_by(F.struct("STORE_NAME", "PREFIX", "PAYMENT_METHOD"),
+                     F.when(v, F.struct(*row_order, "STORE_NAME", "PREFIX", "PAYMENT_METHOD")))
+    org, ext, tot = (exact_sum(on_valid("UNIT_TOTAL_ORGANIC_DISCOUNT")), exact_sum(on_valid("UNIT_TOTAL_EXTRA_DISCOUNT")),
+                     exact_sum(on_valid("UNIT_TOTAL_DISCOUNTS")))
+    qty = exact_sum(on_valid("UNIT_QUANTITY"))
+    return (cleaned.filter(F.col(CUSTOMER).isNotNull())
+                   .groupBy(CUSTOMER, ORDER)
+                   .agg(F.count_if(v).alias("_valid_lines"),
+                        F.max("ORDER_DATE").alias("ORDER_MAX_DATE_ALL"),
+                        org.alias("ORDER_TOTAL_ORGANIC_DISCOUNT"),
+                        (org > 0).cast("bigint").alias("ORDER_TOTAL_ORGANIC_USED_DISCOUNT"),
+                        ext.alias("ORDER_TOTAL_EXTRA_DISCOUNT"),
+                        (ext > 0).cast("bigint").alias("ORDER_TOTAL_EXTRA_USED_DISCOUNT"),
+                        tot.alias("ORDER_TOTAL_DISCOUNT"),
+                        (tot > 0).cast("bigint").alias("ORDER_TOTAL_USED_DISCOUNT"),
+                        qty.alias("ORDER_UNIT_QUANTITY"),
+                        (qty > 2).cast("bigint").alias("ORDER_IS_BULK"),
+                        any_true(v & (F.col("SKU_IS_BUNDLE") == 1)).alias("ORDER_IS_BUNDLE"),
+                        first["STORE_NAME"].alias("STORE"),
+                        first["PREFIX"].alias("STORE_TYPE"),
+                        first["PAYMENT_METHOD"].alias("PAYMENT_METHOD"),
+                        exact_sum(on_valid("UNIT_NET")).alias("ORDER_NET"),
+                        F.max(on_valid("ORDER_DATE")).alias("ORDER_LAST_DATE")))
+
+
 def _rfm_aggs(ref_date: Column) -> list[Column]:
     return [F.max("ORDER_LAST_DATE").alias("_last"),
             F.count(F.col(ORDER)).alias("Frequency"),

@@ -30,13 +30,19 @@ def cleaned_lines(tables: dict[str, DataFrame], with_users: bool = False) -> Dat
 
 
 def customer_features(tables: dict[str, DataFrame]) -> DataFrame:
+    """Cleaned lines are aggregated once per (customer, order) over every
+    state; that table gives the reference date, RFM + behaviour and the
+    (order, customer) pairs for the operations.  Category counts are the
+    only other pass over the lines."""
     cleaned = cleaned_lines(tables)
     valid = clean.valid_lines(cleaned)
-    ref = rfmf.reference_date(cleaned)
-    orders = rfmf.order_level(valid)
+    every = rfmf.order_level_all_states(cleaned)
+    ref = every.agg(F.max("ORDER_MAX_DATE_ALL")).scalar()
+    orders = every.filter(F.col("_valid_lines") > 0)
     rb = rfmf.rfm_behaviour(orders, ref)
 
-    vops = opsf.valid_customer_operations(tables["operation_details"], cleaned)
+    pairs = every.select("ORDER_ID", CUSTOMER)
+    vops = opsf.valid_customer_operations(tables["operation_details"], None, pairs=pairs)
     ops_num = vops.groupBy(CUSTOMER).agg(*opsf.operation_numeric_aggs(), F.lit(True).alias("_has_ops"))
 
     counts = value_counts_by_key([rfmf.order_attribute_values(orders),

@@ -8,13 +8,20 @@ from pyspark.sql import types as T
 from ..functions.nulls import nan_to_null
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None,
                  nan_as_null: bool = True) -> DataFrame:
     """Scan a parquet table.  With ``schema`` the declared columns are
     checked (name and type) against the file footer; NaN becomes NULL so
     comparisons and averages follow pandas' missing-value rules.  The scan
     stays lazy: Catalyst still prunes columns and pushes filters into it."""
-    df = spark.read.parquet(path)
+    # footer schema inference runs a small job; a path's schema is inferred
+    # once per process and reused by later scans of the same path
+    known = _SCHEMAS.get(path)
+    df = spark.read.schema(known).parquet(path) if known is not None else spark.read.parquet(path)
+    _SCHEMAS.setdefault(path, df.schema)
     if schema is not None:
         have = {f.name: f.dataType for f in df.schema.fields}
         for f in schema.fields:

@@ -1,0 +1,7 @@
+"""Streaming entry points.
+
+The reference pipeline reads static Parquet only: it has no stream source,
+watermark, windowed aggregation or state.  Nothing is built here in this
+round; the batch functions take any DataFrame, so a caller can already run
+them per micro-batch with ``writeStream.foreachBatch``.
+"""

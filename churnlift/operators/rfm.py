@@ -135,8 +135,8 @@ def rfm_behaviour(orders: DataFrame, ref_date: Column) -> DataFrame:
     order), behaviour means (orders with an id), ``_orders`` = number of
     orders with an id (0 -> no behaviour row in the reference)."""
     out = orders.groupBy(CUSTOMER).agg(*_rfm_aggs(ref_date), *_behaviour_aggs())
-    out = out.withColumn("Recency", whole_days_between(F.col("_last"), ref_date)).drop("_last")
-    return out
+    keep = [c for c in out.columns if c != "_last"]
+    return out.select(*keep, whole_days_between(F.col("_last"), ref_date).alias("Recency"))
 
 
 def rfm(valid: DataFrame, ref_date: Column) -> DataFrame:

@@ -63,7 +63,8 @@ def customer_features(tables: dict[str, DataFrame]) -> DataFrame:
     def when_orders(c, default):
         return F.when(has_orders, F.coalesce(F.col(c), F.lit(default)))
 
-    out = j.withColumns({
+    exprs = {
+        **{c: F.col(c) for c in [CUSTOMER] + rfmf.RFM_COLS + opsf.OPS_COLS[:4]},
         **{c: F.when(has_orders, F.col(c)) for c in rfmf.BEHAVIOUR_COLS},
         **{c: when_orders(c, UNKNOWN) for c in rfmf.FAVOURITE_COLS},
         "CATEGORY_DIVERSITY": when_orders("CATEGORY_DIVERSITY", 0).cast("bigint"),
@@ -72,5 +73,8 @@ def customer_features(tables: dict[str, DataFrame]) -> DataFrame:
         "FAVORITE_SUB_CATEGORY": when_orders("FAVORITE_SUB_CATEGORY", UNKNOWN),
         "FAVORITE_WEEKDAY": F.when(has_ops, F.coalesce("FAVORITE_WEEKDAY", F.lit(UNKNOWN))),
         "FAVORITE_HOUR": F.when(has_ops, F.coalesce("FAVORITE_HOUR", F.lit(-1).cast("bigint"))),
-    })
-    return out.select(*FEATURE_COLS)
+    }
+    # one projection for the whole output (each extra step re-analyses the plan);
+    # doubles get + 0.0 so an IEEE -0.0 prints and hashes as 0.0
+    doubles = set(rfmf.RFM_COLS[2:] + rfmf.BEHAVIOUR_COLS + opsf.OPS_COLS[:4])
+    return j.select(*[(exprs[c] + F.lit(0.0) if c in doubles else exprs[c]).alias(c) for c in FEATURE_COLS])

@@ -25,6 +25,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of an input that several passes read: a reliable
     checkpoint in the shared folder named by ``spark.checkpoint.dir``
     (survives executor loss, unlike a local checkpoint)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

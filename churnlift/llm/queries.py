@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, hash_tree, jaccard_tiles, quality_crf, substring_sketch, toxicity_counterfactual,
-               wordpiece_counts)
+from . import (byte_bpe, decontam_bm25, hash_tree, jaccard_tiles, license_zstd, pii_bootstrap, quality_crf,
+               substring_sketch, toxicity_counterfactual, wordpiece_counts)
 from .storage import prepare
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -58,6 +58,23 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("component").alias("component_id"))
 
 
+def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and digest, and all spans, of every document."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_bootstrap.find(docs, "text", "found")
+
+    def joined(spans):
+        name = F.element_at(F.array(*[F.lit(k) for k in pii_bootstrap.KINDS]), spans["kind"] + 1)
+        return F.concat_ws(":", name, spans["start"].cast("string"), spans["end"].cast("string"))
+
+    counts = [F.size(F.filter("found.base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii_bootstrap.KINDS)]
+    return found.select("doc_id", *counts,
+                        F.sha2(F.array_join(F.transform("found.base", joined), ","), 256).alias("base_sha256"),
+                        F.array_join(F.transform("found.all", joined), ",").alias("spans"))
+
+
 def op5_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy longest-match pieces of every document."""
     prepare(spark)
@@ -96,6 +113,30 @@ def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_byte_bpe, op3_ngram_jaccard, op5_wordpiece_counts, op6_toxicity,
-                                   op7_repeated_windows, op8_hash_tree)}
+def op9_license_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate blocks and confirmed licenses of every document."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = license_zstd.scan(docs, "text", out="scan")
+    hits = F.col("scan.licenses")
+    return scanned.select("doc_id", "scan.n_blocks", F.size(hits).cast("long").alias("n_licenses"),
+                          F.array_join(hits["license"], ",").alias("licenses"),
+                          F.array_join(F.transform(hits["differences"], lambda n: n.cast("string")), ",").alias("differences"),
+                          F.array_join(F.transform(hits, lambda h: F.format_string("%d:%d", h["start"], h["end"])), ",")
+                          .alias("blocks"))
+
+
+def op10_benchmark_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document, test item) of every verified overlap."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam_bm25.find(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text", "hits")
+    return (found.select("doc_id", F.explode("hits").alias("h"))
+            .select("doc_id", "h.item_id", F.round("h.score", 6).alias("score"),
+                    F.round("h.question", 6).alias("question_overlap"), F.round("h.answer", 6).alias("answer_overlap")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_crf, op2_byte_bpe, op3_ngram_jaccard, op4_pii_bootstrap, op5_wordpiece_counts, op6_toxicity,
+    op7_repeated_windows, op8_hash_tree, op9_license_zstd, op10_benchmark_bm25)}
 ORACLE_SQL: dict[str, str] = {}

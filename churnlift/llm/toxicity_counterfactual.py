@@ -1,15 +1,17 @@
 """Toxicity score of a counterfactually regularised linear classifier.
 
-A logistic model over the distinct words of a text is fitted by proximal
-gradient steps (L1, so that words without evidence get weight 0).  For each
-labelled text that mentions an identity term, a copy with the terms swapped
-for others of the same set is made; the squared difference of both scores
-(log-odds) is added to the loss, so a text's score may not hang on which group
-it mentions, and a group's name alone earns none.
+Features are the shares of words and of word beginnings among a text's words
+(``FULL_SHARE`` of the words counts as 1, and no more).  A logistic model is
+fitted by proximal gradient steps (L1, so that features without evidence get
+weight 0).  For each labelled text that mentions an identity term, a copy with
+the terms swapped for others of the same set is made; the squared difference
+of both scores (log-odds) is added to the loss, so a text's score may not hang
+on which group it mentions.
 
 Training reads a bounded sample: the ``MAX_TEXTS`` distinct labelled texts
-smallest by hash, from which words found in fewer than ``MIN_TEXTS`` texts are
-left out.  Scoring reads every whole text.
+smallest by hash.  Features found in fewer than ``MIN_TEXTS`` of them, or whose
+means in both labels differ by less than ``MIN_T`` standard errors, are left
+out (identity terms stay).  Scoring reads every whole text.
 
 Results for odd input: null or empty text scores as no words (the intercept);
 without labelled rows of both labels every score is the share of label 1 among
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,8 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TEXTS = 8_000
-MIN_TEXTS = 3
+MAX_TEXTS = 5_000
+MIN_TEXTS = 4
+MIN_T = 3.0
+#: Share of a text's words at which a feature has value 1.
+FULL_SHARE = 0.02
+#: Lengths of the word beginnings that are features.
+BEGINNINGS = (4, 5, 6, 7)
 
 #: Identity terms by set; a term is swapped for the next one of its set.
 IDENTITY_TERMS = (
@@ -48,15 +56,25 @@ SWAP = {t: group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i, t in e
 WORD = re.compile(r"\w+")
 
 
-def words_of(text) -> set[str]:
-    return set(WORD.findall(text.lower())) if isinstance(text, str) else set()
+def words_of(text) -> list[str]:
+    return WORD.findall(text.lower()) if isinstance(text, str) else []
 
 
-def swapped(words: set[str]) -> set[str] | None:
+def features(words: list[str]) -> dict[str, float]:
+    """Values of the words and, marked by a final '~', the word beginnings."""
+    count: Counter[str] = Counter()
+    for w, n in Counter(words).items():
+        count[w] += n
+        for k in BEGINNINGS:
+            if len(w) >= k:
+                count[w[:k] + "~"] += n
+    scale = 1 / (FULL_SHARE * len(words)) if words else 0.0
+    return {f: min(1.0, n * scale) for f, n in count.items()}
+
+
+def swapped(words: list[str]) -> list[str] | None:
     """The words with identity terms swapped; None if there are none."""
-    if not words & SWAP.keys():
-        return None
-    return {SWAP.get(w, w) for w in words}
+    return [SWAP.get(w, w) for w in words] if SWAP.keys() & set(words) else None
 
 
 @dataclass(frozen=True)
@@ -65,63 +83,94 @@ class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)
 
     def score(self, text) -> float:
-        z = self.intercept + sum(map(self.weights.__getitem__, words_of(text) & self.weights.keys()))
-        return 0.0 if z == -math.inf else 1 / (1 + math.exp(-max(min(z, 50.0), -50.0)))
+        z, weights = self.intercept, self.weights
+        if weights:
+            # shares by feature, of the words and beginnings that have a weight only
+            words = words_of(text)
+            count: dict[str, int] = {}
+            for w, n in Counter(words).items():
+                for f in (w, *[w[:k] + "~" for k in BEGINNINGS if len(w) >= k]):
+                    if f in weights:
+                        count[f] = count.get(f, 0) + n
+            full = FULL_SHARE * len(words)
+            z += sum(weights[f] * min(1.0, n / full) for f, n in count.items())
+        return 1 / (1 + math.exp(-max(min(z, 50.0), -50.0)))
 
 
 class _Rows:
-    """Sparse 0/1 rows."""
+    """Sparse rows of (column, value)."""
 
-    def __init__(self, rows: list[list[int]], width: int):
+    def __init__(self, rows: list[dict[int, float]], width: int):
         self.col = np.fromiter((c for r in rows for c in r), np.int64)
+        self.val = np.fromiter((v for r in rows for v in r.values()), float)
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         self.shape = (len(rows), width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col], self.shape[0])
+        return np.bincount(self.row, w[self.col] * self.val, self.shape[0])
 
     def t_dot(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, r[self.row], self.shape[1])
-
-
-def train(samples: list[tuple[set[str], int]], l1: float = 2e-4, swap_weight: float = 1.0, steps: int = 400) -> ToxicityModel:
+        return np.bincount(self.col, r[self.row] * self.val, self.shape[1])
+
+
+def _telling(rows: list[dict[str, float]], y: np.ndarray) -> list[str]:
+    """Features that differ between the labels, and the identity terms met."""
+    total = [Counter(), Counter()]
+    square, texts = [Counter(), Counter()], Counter()
+    for row, label in zip(rows, y):
+        for f, v in row.items():
+            texts[f] += 1
+            total[int(label)][f] += v
+            square[int(label)][f] += v * v
+    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    out = []
+    for f, n in texts.items():
+        m1, m0 = total[1][f] / n1, total[0][f] / n0
+        error = math.sqrt((square[1][f] / n1 - m1 * m1) / n1 + (square[0][f] / n0 - m0 * m0) / n0 + 1e-12)
+        if f in SWAP or n >= MIN_TEXTS and abs(m1 - m0) >= MIN_T * error:
+            out.append(f)
+    return sorted(out)
+
+
+def train(samples: list[tuple[list[str], int]], l1: float = 2e-4, swap_weight: float = 1.0, steps: int = 500) -> ToxicityModel:
     """Fit on (words, label); both labels get the same total weight."""
     y = np.array([label for _, label in samples], float)
     if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return ToxicityModel(math.inf if share else -math.inf)
-    seen: dict[str, int] = {}
-    for words, _ in samples:
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-    kept = sorted(w for w, n in seen.items() if n >= MIN_TEXTS or w in SWAP)
-    index = {w: i for i, w in enumerate(kept)}
-    x = _Rows([[index[w] for w in words if w in index] for words, _ in samples], len(kept))
-    pairs = [(words, other) for words, _ in samples if (other := swapped(words)) is not None]
-    gone = _Rows([[index[w] for w in a - b if w in index] for a, b in pairs], len(kept))
-    come = _Rows([[index[w] for w in b - a if w in index] for a, b in pairs], len(kept))
+        return ToxicityModel(math.inf if len(y) and y[0] else -math.inf)
+    rows = [features(words) for words, _ in samples]
+    index = {f: i for i, f in enumerate(_telling(rows, y))}
+
+    def sparse(many: list[dict[str, float]]) -> _Rows:
+        return _Rows([{index[f]: v for f, v in r.items() if f in index} for r in many], len(index))
+
+    x = sparse(rows)
+    pairs = [(features(words), features(other)) for words, _ in samples if (other := swapped(words)) is not None]
+    moved = sparse([{f: a.get(f, 0.0) - b.get(f, 0.0) for f in a.keys() | b.keys()} for a, b in pairs])
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    frequency = np.maximum(x.t_dot(weight), 1e-12)
-    w, b = np.zeros(len(kept)), 0.0
-    v, last = w.copy(), 1.0
-    # step by coordinate scale: a rare word's gradient is as rare
-    rate = 1.0 / np.sqrt(frequency + 1e-3)
-    rate /= max(1.0, (x.dot(rate).max()))
-    bv = b
+    pair_weight = np.full(len(pairs), 2 * swap_weight / max(1, len(pairs)))
+    # a separable bound of the curvature gives each feature its own step
+    curve = 0.25 * x.t_dot(weight * (x.dot(np.ones(len(index))) + 1))
+    if pairs:
+        size = _Rows([], 0)
+        size.col, size.row, size.val, size.shape = moved.col, moved.row, np.abs(moved.val), moved.shape
+        curve += size.t_dot(pair_weight * size.dot(np.ones(len(index))))
+    rate = 1 / np.maximum(curve, 1e-9)
+    rate_b = 1 / (0.25 * float((weight * (x.dot(np.ones(len(index))) + 1)).sum()))
+    w, b, last = np.zeros(len(index)), 0.0, 1.0
+    v, bv = w, b
     for _ in range(steps):
         z = x.dot(v) + bv
         r = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
         grad = x.t_dot(r)
         if pairs:
-            d = (gone.dot(v) - come.dot(v)) * (2 * swap_weight / len(pairs))
-            grad += gone.t_dot(d) - come.t_dot(d)
-        step = v - 4 * rate * grad
-        new = np.sign(step) * np.maximum(np.abs(step) - 4 * rate * l1, 0)
-        new_b = bv - 0.5 * r.sum()
+            grad += moved.t_dot(moved.dot(v) * pair_weight)
+        step = v - rate * grad
+        new = np.sign(step) * np.maximum(np.abs(step) - rate * l1, 0)
+        new_b = bv - rate_b * r.sum()
         nxt = (1 + math.sqrt(1 + 4 * last * last)) / 2
         v, bv = new + (last - 1) / nxt * (new - w), new_b + (last - 1) / nxt * (new_b - b)
         w, b, last = new, new_b, nxt
-    return ToxicityModel(float(b), {k: float(w[i]) for k, i in index.items() if w[i] != 0})
+    return ToxicityModel(float(b), {f: float(w[i]) for f, i in index.items() if w[i] != 0})
 
 
 def fit(df: DataFrame, text: str, label: str, max_texts: int = MAX_TEXTS) -> ToxicityModel:
@@ -132,11 +181,11 @@ def fit(df: DataFrame, text: str, label: str, max_texts: int = MAX_TEXTS) -> Tox
     sample = (rows.groupBy("h", "y").agg(F.first("text").alias("text")).orderBy("h", "y").limit(max_texts))
 
     @F.pandas_udf("array<string>")
-    def distinct(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(words_of(t)) for t in texts], dtype=object)
+    def split(texts: pd.Series) -> pd.Series:
+        return pd.Series([words_of(t) for t in texts], dtype=object)
 
-    got = sample.select("h", "y", distinct("text").alias("words")).orderBy("h", "y").toLocalIterator()
-    return train([(set(r["words"]), r["y"]) for r in got])
+    got = sample.select("h", "y", split("text").alias("words")).orderBy("h", "y").toLocalIterator()
+    return train([(r["words"], r["y"]) for r in got])
 
 
 def score(df: DataFrame, text: str, model: ToxicityModel, out: str = "score") -> DataFrame:

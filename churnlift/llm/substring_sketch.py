@@ -60,12 +60,12 @@ def anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return g[place[first]], place[first], first, last
 
 
-def cells_of(anchor: np.ndarray, row: int) -> np.ndarray:
+def cells_of(anchor: np.ndarray, row: int, cells: int) -> np.ndarray:
     """Sketch cell of each anchor in one sketch row."""
-    return mix(anchor + _U(row + 1)) % _U(CELLS)
+    return mix(anchor + _U(row + 1)) % _U(cells)
 
 
-def _partition_sketch(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+def _partition_sketch(batches: Iterator[pd.DataFrame], width: int, cells: int) -> Iterator[pd.DataFrame]:
     """Sparse counters of the partition's anchors, by segment; counts stop at 2."""
     hashes = WordHashes()
     held, size = [], 0
@@ -74,7 +74,7 @@ def _partition_sketch(batches: Iterator[pd.DataFrame], width: int) -> Iterator[p
         found = np.concatenate(held) if held else np.empty(0, _U)
         out = []
         for row in range(ROWS):
-            cell, count = np.unique(cells_of(found, row), return_counts=True)
+            cell, count = np.unique(cells_of(found, row, cells), return_counts=True)
             segment = cell // _U(SEGMENT)
             for a, b in zip(*_groups(segment)):
                 out.append((row, int(segment[a]), (cell[a:b] % _U(SEGMENT)).astype(np.uint32).tobytes(),
@@ -110,15 +110,15 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
                          "bits": [np.packbits(total >= 2).tobytes()]})
 
 
-def sketch(texts: DataFrame, width: int) -> np.ndarray:
+def sketch(texts: DataFrame, width: int, cells: int = CELLS) -> np.ndarray:
     """Bits [row, cell / 8] of the cells counted twice or more.
 
-    What comes to the driver is the merged bit set: ROWS * CELLS / 8 bytes at
-    most, whatever the input.
+    What comes to the driver is the merged bit set: ROWS * cells / 8 bytes at
+    most, whatever the input.  ``cells`` is a multiple of ``SEGMENT``.
     """
-    parts = texts.mapInPandas(lambda it: _partition_sketch(it, width), "row int, segment int, cells binary, counts binary")
+    parts = texts.mapInPandas(lambda it: _partition_sketch(it, width, cells), "row int, segment int, cells binary, counts binary")
     merged = parts.groupBy("row", "segment").applyInPandas(_merge, "row int, segment int, bits binary")
-    bits = np.zeros((ROWS, CELLS // 8), np.uint8)
+    bits = np.zeros((ROWS, cells // 8), np.uint8)
     step = SEGMENT // 8
     for r in merged.toLocalIterator():
         bits[r["row"], r["segment"] * step:(r["segment"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
@@ -128,7 +128,7 @@ def sketch(texts: DataFrame, width: int) -> np.ndarray:
 def _estimated_repeated(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     out = np.ones(len(anchor), bool)
     for row in range(ROWS):
-        cell = cells_of(anchor, row)
+        cell = cells_of(anchor, row, 8 * bits.shape[1])
         out &= (bits[row][(cell >> _U(3)).astype(np.int64)] >> (7 - (cell & _U(7)).astype(np.uint8))) & 1 == 1
     return out
 
@@ -229,11 +229,11 @@ def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settle(pd.concat(held))
 
 
-def repeated_ranges(df: DataFrame, text: str, width: int = 35) -> DataFrame:
+def repeated_ranges(df: DataFrame, text: str, width: int = 35, cells: int = CELLS) -> DataFrame:
     """(key, firsts, sizes) of the texts with repeated windows: ``key`` is the
     text's md5; runs of repeated window starts by first start and length."""
     texts = df.select(F.unhex(F.md5(F.col(text))).alias("key"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    bits = df.sparkSession.sparkContext.broadcast(sketch(texts.select("text"), width))
+    bits = df.sparkSession.sparkContext.broadcast(sketch(texts.select("text"), width, cells))
     found = texts.mapInPandas(lambda it: _candidates(it, width, bits.value),
                               "kind int, anchor long, key binary, first int, size int, windows binary")
     found = written(found, "windows")
@@ -254,10 +254,10 @@ def keep_unrepeated(words: list[bytes], firsts, sizes, width: int) -> list[bytes
     return [w for w, g in zip(words, gone) if not g]
 
 
-def remove_repeats(df: DataFrame, id_col: str, text: str, width: int = 35) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str, text: str, width: int = 35, cells: int = CELLS) -> DataFrame:
     """(id_col, n_words, n_removed, kept): every text without the words that a
     repeated window covers, joined by single spaces."""
-    ranges = written(repeated_ranges(df, text, width), "ranges")
+    ranges = written(repeated_ranges(df, text, width, cells), "ranges")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def rest(texts: pd.Series, firsts: pd.Series, sizes: pd.Series) -> pd.DataFrame:

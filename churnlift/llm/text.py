@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 
 #: Entries of the per-process word-hash cache before it is emptied.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _U = np.uint64
 

@@ -21,21 +21,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def attribute_values(df: DataFrame, key: str, attrs: dict[str, Column | str]) -> DataFrame:
-    """Long form (key, attr, value) of ``attrs`` (name -> column), NULL key
-    and NULL values dropped.  Values are compared as text, so numeric
+def attribute_values(df: DataFrame, key: str, attrs: dict[str, Column | str], weight: Column | None = None) -> DataFrame:
+    """Long form (key, attr, value, w) of ``attrs`` (name -> column), NULL key
+    and NULL values dropped; ``weight`` rows of an already grouped input count
+    as so many.  Values are compared as text, so numeric
     attributes must be given an order-preserving text form (see ``padded``)."""
     entries = [F.struct(F.lit(name).alias("attr"),
                         (F.col(c) if isinstance(c, str) else c).cast("string").alias("value"))
                for name, c in attrs.items()]
-    return (df.select(F.col(key), F.inline(F.array(*entries)))
+    w = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
+    return (df.select(F.col(key), w.alias("w"), F.inline(F.array(*entries)))
               .filter(F.col(key).isNotNull() & F.col("value").isNotNull()))
 
 
 def value_counts_by_key(long_frames: list[DataFrame], key: str) -> DataFrame:
     """Stage 1: (key, attr, value, n)."""
     allv = reduce(DataFrame.unionByName, long_frames)
-    return allv.groupBy(key, "attr", "value").agg(F.count(F.lit(1)).alias("n"))
+    return allv.groupBy(key, "attr", "value").agg(F.sum("w").alias("n"))
 
 
 def mode_of(attr: str) -> Column:

@@ -84,6 +84,11 @@ def complete_cases(df: DataFrame) -> DataFrame:
     return df.na.drop(how="any")
 
 
+def is_unique(dim: DataFrame, key: str) -> bool:
+    """True if no key value (NULL is one) stands in two rows."""
+    return not dim.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+
+
 def orphan_keys(lines: DataFrame, dim: DataFrame, key: str = "SKU_ID") -> DataFrame:
     """P10: distinct fact keys that have no dimension row (left anti join)."""
     return lines.select(key).join(dim.select(key), on=key, how="left_anti").distinct()

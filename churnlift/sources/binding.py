@@ -2,10 +2,11 @@
 tables the pipeline expects (FIXTURES.md §2).
 
 The raw test tables hold no NULLs and no orphan keys, while the reference's
-data has both (it reports and drops them).  The binding therefore leaves
-some dimension rows out (every 10th supplier, every 20th part) so that fact
-rows point at missing stores/products, and maps some order states to NULL.
-Every fact row of ``lineitem``/``orders``/``events`` is read.
+data has both (it reports and drops them).  The binding therefore changes
+keys on the fact side: lines of some suppliers point at stores that do not
+exist or have no store, lines of some parts at unknown products, some orders
+have no customer, some states are NULL and some operation times are no times.
+Every row of every table is read.
 
 ``*_SQL`` strings are the same binding as SQL text for the DuckDB oracle.
 """
@@ -46,6 +47,10 @@ def _raw_payment_sql(col: str) -> str:
     return f"case {col} {whens} end"
 
 
+# Fact rows whose key is changed: key modulo n is 0.
+NO_STORE, ORPHAN_STORE, ORPHAN_PRODUCT, NO_CUSTOMER, BAD_TIME = 20, 10, 20, 41, 53
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FACT_ORDER_TABLE: one row per order line."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -63,9 +68,10 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("o_orderkey") % 5 == 0, F.lit(None)).otherwise("Fraud")))
     return j.select(
         F.col("l_orderkey").alias("ORDER_ID"),
-        F.col("o_custkey").alias("CUSTOMER_ID"),
-        F.col("l_partkey").alias("SKU_ID"),
-        F.col("l_suppkey").alias("STORE_ID"),
+        F.when(F.col("o_orderkey") % NO_CUSTOMER != 0, F.col("o_custkey")).alias("CUSTOMER_ID"),
+        F.when(F.col("l_partkey") % ORPHAN_PRODUCT == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("SKU_ID"),
+        F.when(F.col("l_suppkey") % NO_STORE == 0, F.lit(None))
+         .when(F.col("l_suppkey") % ORPHAN_STORE == 0, -F.col("l_suppkey")).otherwise(F.col("l_suppkey")).alias("STORE_ID"),
         F.col("l_linenumber").alias("LINE_NO"),
         (F.col("o_orderkey") % 97).alias("DEVICE_ID"),
         order_date.alias("ORDER_TIMESTAMP"),
@@ -83,8 +89,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier")
     n = read_table(spark, sf_dir, "nation")
-    return (s.filter(F.col("s_suppkey") % 10 != 0)
-             .join(n, s.s_nationkey == n.n_nationkey)
+    return (s.join(n, s.s_nationkey == n.n_nationkey)
              .select(F.col("s_suppkey").alias("STORE_ID"), F.col("s_name").alias("STORE_NAME"),
                      F.col("n_name").alias("PREFIX")))
 
@@ -93,11 +98,9 @@ def product_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part")
     bundle = (F.when(F.col("p_size") % 10 == 0, F.lit(1))
                .when(F.col("p_size") % 10 == 1, F.lit(None)).otherwise(F.lit(0)))
-    return (p.filter(F.col("p_partkey") % 20 != 0)
-             .select(F.col("p_partkey").alias("SKU_ID"), F.col("p_name").alias("SKU_NAME"),
-                     F.nullif(F.col("p_type"), F.lit("ECONOMY")).alias("SKU_CATEGORY"),
-                     F.col("p_brand").alias("SKU_SUBCATEGORY"),
-                     bundle.cast("int").alias("SKU_IS_BUNDLE")))
+    return p.select(F.col("p_partkey").alias("SKU_ID"), F.col("p_name").alias("SKU_NAME"),
+                    F.nullif(F.col("p_type"), F.lit("ECONOMY")).alias("SKU_CATEGORY"),
+                    F.col("p_brand").alias("SKU_SUBCATEGORY"), bundle.cast("int").alias("SKU_IS_BUNDLE"))
 
 
 def user_master(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +115,7 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("ORDER_ID"),
         F.date_trunc("DAY", ts).cast("timestamp_ntz").alias("ORDER_DATE"),
-        F.date_format(ts, "HH:mm:ss").alias("ORDER_TIME"),
+        F.when(F.col("event_id") % BAD_TIME == 0, F.lit("n/a")).otherwise(F.date_format(ts, "HH:mm:ss")).alias("ORDER_TIME"),
         F.when(F.col("event_type") == "signup", "Invalid").otherwise("Valid").alias("ORDER_STATE_FINAL"),
         F.col("value").alias("DELIVERY_TIME"),
         F.when(F.col("event_type") == "error", F.lit(None))
@@ -134,7 +137,10 @@ def canonical_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 # ---- the same binding as SQL text (DuckDB oracle) ---------------------------
 ORDER_LINES_SQL = f"""
-select l_orderkey ORDER_ID, o_custkey CUSTOMER_ID, l_partkey SKU_ID, l_suppkey STORE_ID,
+select l_orderkey ORDER_ID, case when o_orderkey % {NO_CUSTOMER} <> 0 then o_custkey end CUSTOMER_ID,
+  case when l_partkey % {ORPHAN_PRODUCT} = 0 then -l_partkey else l_partkey end SKU_ID,
+  case when l_suppkey % {NO_STORE} = 0 then null when l_suppkey % {ORPHAN_STORE} = 0 then -l_suppkey
+    else l_suppkey end STORE_ID,
   l_linenumber LINE_NO, o_orderkey % 97 DEVICE_ID,
   o_orderdate + interval '{ORDER_YEAR_SHIFT}' year ORDER_TIMESTAMP,
   o_orderdate + interval '{ORDER_YEAR_SHIFT}' year ORDER_DATE,
@@ -151,13 +157,13 @@ from lineitem join orders on l_orderkey = o_orderkey"""
 
 STORE_MASTER_SQL = """
 select s_suppkey STORE_ID, s_name STORE_NAME, n_name PREFIX
-from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 10 <> 0"""
+from supplier join nation on s_nationkey = n_nationkey"""
 
 PRODUCT_MASTER_SQL = """
 select p_partkey SKU_ID, p_name SKU_NAME, nullif(p_type, 'ECONOMY') SKU_CATEGORY,
   p_brand SKU_SUBCATEGORY,
   cast(case p_size % 10 when 0 then 1 when 1 then null else 0 end as integer) SKU_IS_BUNDLE
-from part where p_partkey % 20 <> 0"""
+from part"""
 
 USER_MASTER_SQL = """
 select c_custkey CUSTOMER_ID, c_mktsegment SEGMENT from customer"""
@@ -165,7 +171,8 @@ select c_custkey CUSTOMER_ID, c_mktsegment SEGMENT from customer"""
 OPERATIONS_SQL = f"""
 select event_id ORDER_ID,
   date_trunc('day', ts + interval '{OPERATION_YEAR_SHIFT}' year) ORDER_DATE,
-  strftime(ts + interval '{OPERATION_YEAR_SHIFT}' year, '%H:%M:%S') ORDER_TIME,
+  case when event_id % {BAD_TIME} = 0 then 'n/a'
+    else strftime(ts + interval '{OPERATION_YEAR_SHIFT}' year, '%H:%M:%S') end ORDER_TIME,
   case event_type when 'signup' then 'Invalid' else 'Valid' end ORDER_STATE_FINAL,
   value DELIVERY_TIME,
   case when event_type = 'error' then null else cast(value <= 50 as integer) end WITHIN_SLA,

@@ -13,7 +13,6 @@ from churnlift.operators import clean, targeting
 from churnlift.operators import rfm as rfmf
 from churnlift.operators.uplift import curves
 from churnlift.operators.uplift.split import stratified_split
-from churnlift.plans import modelling
 from churnlift.plans.customer_features import customer_features
 
 
@@ -81,7 +80,7 @@ def test_standalone_operators_agree(golden_tables):
     t = golden_tables
     cleaned = clean.clean_order_lines(t["order_details"], t["store_master"], t["product_master"])
     valid = clean.valid_lines(cleaned)
-    r = {x.CUSTOMER_ID: x for x in rfmf.rfm(valid, rfmf.reference_date(cleaned)).collect()}
+    r = {x.CUSTOMER_ID: x for x in rfmf.rfm(rfmf.order_level(cleaned)).collect()}
     assert r["C1"].Monetary == 26.0 and r["C2"].Recency == 11
     fav = {x.CUSTOMER_ID: x.FAVOURITE_STORE for x in rfmf.favourites(valid).collect()}
     assert fav == {"C1": "Alpha", "C2": "Beta"}
@@ -151,6 +150,48 @@ def test_split_exact_and_partition_independent(spark):
     assert sorted(a.filter("is_test").select("id").collect()) == sorted(b.filter("is_test").select("id").collect())
 
 
+# The published score table (label, model, order, Qini AUC, AUUC).
+PUBLISHED = [
+    ("OCSVM", "TwoModels_XGB_vs_RF", 0, 0.6018, 0.4273),
+    ("OCSVM", "TwoModels_LOGREG_vs_SVM", 1, 0.1768, 0.0568),
+    ("OCSVM", "CT_XGB", 2, 0.4571, 0.5309),
+    ("OCSVM", "CT_RF", 3, 0.3520, 0.5330),
+    ("Isolation Forest", "TwoModels_XGB_vs_RF", 4, 0.5479, 0.3153),
+    ("Isolation Forest", "TwoModels_LOGREG_vs_SVM", 5, 0.4575, 0.1481),
+    ("Isolation Forest", "CT_XGB", 6, 0.3598, 0.5000),
+    ("Isolation Forest", "CT_RF", 7, 0.3461, 0.4011),
+    ("LOF", "TwoModels_XGB_vs_RF", 8, 0.4405, 0.2299),
+    ("LOF", "TwoModels_LOGREG_vs_SVM", 9, -0.2836, -0.0461),
+    ("LOF", "CT_XGB", 10, 0.2001, 0.3465),
+    ("LOF", "CT_RF", 11, 0.2410, 0.5332),
+]
+
+
 def test_best_model_on_published_scores(spark):
-    best = curves.best_model(modelling.published_scores(spark)).first()
+    scores = spark.createDataFrame(PUBLISHED, "label string, model string, run_order int, qini_auc double, auuc double")
+    best = curves.best_model(scores).first()
     assert (best.model, best.label, best.qini_auc) == ("TwoModels_XGB_vs_RF", "OCSVM", 0.6018)
+    table = {r["label"]: r["CT_RF"] for r in curves.comparison_table(scores, ["CT_XGB", "CT_RF"], "auuc").collect()}
+    assert table == {"OCSVM": 0.5330, "Isolation Forest": 0.4011, "LOF": 0.5332}
+
+
+def test_reference_date_counts_lines_without_a_customer(spark, golden_tables):
+    """A1: the latest line belongs to no customer; both paths must see it."""
+    late = spark.createDataFrame([("O10", None, _d(31), "K1", "S1", 1.0, 10.0, 8.0, 8.0, 8.0, "CASH", "Valid", 1)],
+                                 golden_tables["order_details"].schema)
+    t = dict(golden_tables, order_details=golden_tables["order_details"].unionByName(late))
+    want = {"C1": 26, "C2": 27}
+    assert {r.CUSTOMER_ID: r.Recency for r in customer_features(t).collect()} == want
+    cleaned = clean.clean_order_lines(t["order_details"], t["store_master"], t["product_master"])
+    assert {r.CUSTOMER_ID: r.Recency for r in rfmf.rfm(rfmf.order_level(cleaned)).collect()} == want
+
+
+def test_repeated_users_repeat_lines(spark, golden_tables):
+    """A user master with a repeated key fans out, a unique one changes nothing."""
+    unique = spark.createDataFrame([("C1", "a"), ("C2", "b")], "CUSTOMER_ID string, SEGMENT string")
+    twice = spark.createDataFrame([("C1", "a"), ("C1", "b")], "CUSTOMER_ID string, SEGMENT string")
+
+    def monetary(users):
+        return {r.CUSTOMER_ID: r.Monetary for r in customer_features(dict(golden_tables, user_master=users)).collect()}
+    assert monetary(unique) == {"C1": 26.0, "C2": 15.0}
+    assert monetary(twice) == {"C1": 52.0, "C2": 15.0}

@@ -22,21 +22,21 @@ KEY = "CUSTOMER_ID"
 LABELS = {"Isolation Forest": "Churn_Label_IsoForest", "OCSVM": "Churn_Label_OCSVM"}
 
 
-def model_input(customer_table: DataFrame, trees: int = 100, seed: int = 42) -> DataFrame:
+def model_input(customer_table: DataFrame, seed: int = 42) -> DataFrame:
     """(id, features vector, Treatment, Monetary, churn labels, is_test)."""
     complete = materialize(clean.complete_cases(customer_table))
     fm = feat.feature_matrix(complete, numeric=feat.NUMERIC_COLS)
     fm = materialize(fm.join(targeting.treatment_flag(complete).select(KEY, "Treatment", "Monetary"), on=KEY))
     arr = materialize(fm.select(KEY, vector_to_array("features").alias("features")))
-    iso = iforest.iforest_labels(arr, trees=trees, seed=seed).select(KEY, "Churn_Label_IsoForest")
+    iso = iforest.iforest_labels(arr, seed=seed).select(KEY, "Churn_Label_IsoForest")
     oc = ocsvm.ocsvm_labels(arr, seed=seed).select(KEY, "Churn_Label_OCSVM")
     out = (fm.join(iso, on=KEY).join(oc, on=KEY)
              .withColumn("treatment", F.col("Treatment").cast("int")))
     return materialize(stratified_split(out, KEY, "treatment", 0.3, seed))
 
 
-def fit_predict(mi: DataFrame, model_name: str, label_col: str, small: bool = True) -> DataFrame:
-    model = learners.model_zoo(small)[model_name]()
+def fit_predict(mi: DataFrame, model_name: str, label_col: str, sizes: dict = learners.REFERENCE_SIZES) -> DataFrame:
+    model = learners.model_zoo(sizes)[model_name]()
     train, test = mi.filter(~F.col("is_test")), mi.filter(F.col("is_test"))
     model.fit(train, label_col, "treatment")
     return model.predict(test, KEY)
@@ -51,14 +51,14 @@ def evaluate(mi: DataFrame, scores: DataFrame, label_col: str, k: float = 0.05)
     return {"qini_auc": q, "auuc": a, "uplift_at_k": u}
 
 
-def model_grid(mi: DataFrame, small: bool = True, labels=LABELS) -> DataFrame:
+def model_grid(mi: DataFrame, sizes: dict = learners.REFERENCE_SIZES, labels=LABELS) -> DataFrame:
     """U8: every model on every label; long (label, model, run_order, metrics).
     The grid loop is a handful of distributed fits; only the metric numbers
     return to the driver."""
     rows, order = [], 0
     for label_name, label_col in labels.items():
-        for model_name in learners.model_zoo(small):
-            m = evaluate(mi, fit_predict(mi, model_name, label_col, small), label_col)
+        for model_name in learners.model_zoo(sizes):
+            m = evaluate(mi, fit_predict(mi, model_name, label_col, sizes), label_col)
             rows.append((label_name, model_name, order, m["qini_auc"], m["auuc"], m["uplift_at_k"]))
             order += 1
     return mi.sparkSession.createDataFrame(
@@ -72,15 +72,3 @@ def targets(customer_table: DataFrame, mi: DataFrame, scores: DataFrame, label_c
     scored = targeting.attach_scores(base, scores)
     t = targeting.with_roi(targeting.top_targets(scored, label_col, n=n))
     return targeting.decile(t, "Uplift_Score")
-
-
-def published_scores(spark):
-    """The Qini AUC / AUUC table printed by the reference (model names
-    trimmed of trailing blanks)."""
-    # fixed values (as published)
-    models = ["TwoModels_XGB_vs_RF", "TwoModels_LOGREG_vs_SVM", "CT_XGB", "CT_RF"]
-    labels = ["OCSVM", "Isolation Forest", "LOF"]
-    qini = [0.6018, 0.1768, 0.4571, 0.3520, 0.5479, 0.4575, 0.3598, 0.3461, 0.4405, -0.2836, 0.2001, 0.2410]
-    auuc = [0.4273, 0.0568, 0.5309, 0.5330, 0.3153, 0.1481, 0.5000, 0.4011, 0.2299, -0.0461, 0.3465, 0.5332]
-    rows = [(labels[i // 4], models[i % 4], i, qini[i], auuc[i]) for i in range(12)]
-    return spark.createDataFrame(rows, "label string, model string, run_order int, qini_auc double, auuc double")

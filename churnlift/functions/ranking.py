@@ -16,11 +16,23 @@ The results are exact: the buckets only split the work.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one in-bucket window is meant to hold; bucket counts follow from the row count.
+ROWS_PER_BUCKET = 100_000
+#: Strata times buckets whose offsets may be broadcast.
+MAX_OFFSETS = 1_000_000
+
+
+def bucket_count(rows: int) -> int:
+    return max(1, math.ceil(rows / ROWS_PER_BUCKET))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of an input that several passes read: a reliable
     checkpoint in the shared folder named by ``spark.checkpoint.dir``
@@ -36,18 +48,21 @@ def md5_key(seed, *cols) -> Column:
 
 
 def rank_by_hash(df: DataFrame, strata: list[str], hash_col: str, out: str = "rank",
-                 prefix_len: int = 3) -> DataFrame:
+                 prefix_len: int | None = None) -> DataFrame:
     """Exact 1-based rank of each row inside its stratum by ascending
     ``hash_col`` (an md5 hex string).  The first ``prefix_len`` hex digits
-    give 16**prefix_len equal-width buckets of a uniform key, so each
-    in-bucket window holds about n / 16**prefix_len rows of a stratum."""
+    give 16**prefix_len equal-width buckets of a uniform key; by default as
+    many as leave about ``ROWS_PER_BUCKET`` rows in each."""
+    if prefix_len is None:
+        prefix_len = max(1, math.ceil(math.log(bucket_count(df.count()), 16)))
     b = df.withColumn("_hb", F.substring(F.col(hash_col), 1, prefix_len))
     counts = b.groupBy(*strata, "_hb").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*strata).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*strata, "_hb", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
                             F.sum("_n").over(Window.partitionBy(*strata)).alias("_stratum_n"))
-    # offsets has at most (#strata x 16**prefix_len) rows: a proven bound
-    j = b.join(F.broadcast(offsets), on=[*strata, "_hb"])
+    # #strata x 16**prefix_len rows: broadcast while the strata are few
+    few = df.select(*strata).distinct().limit(MAX_OFFSETS // 16 ** prefix_len + 1).count() <= MAX_OFFSETS // 16 ** prefix_len
+    j = b.join(F.broadcast(offsets) if few else offsets, on=[*strata, "_hb"])
     local = F.row_number().over(Window.partitionBy(*strata, "_hb").orderBy(hash_col))
     return j.withColumn(out, F.col("_off") + local).drop("_hb", "_off")
 
@@ -68,11 +83,18 @@ def quantile_buckets(df: DataFrame, col: str, num_buckets: int = 256, rel_err: f
 
 
 def running_totals(df: DataFrame, order_col: str, value_cols: list[str], descending: bool = True,
-                   num_buckets: int = 256, prefix: str = "cum_", partition_cols=()) -> DataFrame:
+                   num_buckets: int | None = None, prefix: str = "cum_", partition_cols=()) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_col`` order, per
     ``partition_cols`` group (a few strata, e.g. treatment arms).
-    ``order_col`` must be unique within a group (aggregate ties first)."""
+    ``order_col`` must be unique within a group (aggregate ties first) and not
+    NULL.  The buckets follow from the row count (pass a written ``df``: it is
+    read three times); up to ``ROWS_PER_BUCKET`` rows need none."""
     parts = list(partition_cols)
+    num_buckets = bucket_count(df.count()) if num_buckets is None else num_buckets
+    if num_buckets == 1:
+        order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+        w = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({f"{prefix}{v}": F.sum(v).over(w) for v in value_cols})
     b = quantile_buckets(df, order_col, num_buckets)
     tot = b.groupBy(*parts, "_bucket").agg(*[F.sum(v).alias(v) for v in value_cols])
     border = F.col("_bucket").desc() if descending else F.col("_bucket").asc()

@@ -45,21 +45,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def apply_conf(spark: SparkSession) -> SparkSession:
     """Apply the semantic settings to a session we did not build."""
     for k, v in BASE_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a running cluster session
-            pass
+        spark.conf.set(k, v)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/object store) folder there; we only set
-    our own when it is unset, which happens in local tests.
+    A cluster names a shared (HDFS/object store) folder there.  Unset, a
+    local session gets a folder of its own; any other master is an error, as
+    executors would not see it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="churnlift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

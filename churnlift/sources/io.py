@@ -3,32 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import nan_to_null
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None,
                  nan_as_null: bool = True) -> DataFrame:
     """Scan a parquet table.  With ``schema`` the declared columns are
-    checked (name and type) against the file footer; NaN becomes NULL so
-    comparisons and averages follow pandas' missing-value rules.  The scan
-    stays lazy: Catalyst still prunes columns and pushes filters into it."""
-    # footer schema inference runs a small job; a path's schema is inferred
-    # once per process and reused by later scans of the same path
-    known = _SCHEMAS.get(path)
-    df = spark.read.schema(known).parquet(path) if known is not None else spark.read.parquet(path)
-    _SCHEMAS.setdefault(path, df.schema)
+    checked (name and type) against the file footer, and only they are read.
+    Nanosecond timestamps, which Spark reads as long, become the declared
+    timestamp (microseconds, rounded down).  NaN becomes NULL so comparisons
+    and averages follow pandas' missing-value rules.  The scan stays lazy:
+    Catalyst still prunes columns and pushes filters into it."""
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    df = spark.read.parquet(path)
     if schema is not None:
         have = {f.name: f.dataType for f in df.schema.fields}
+        columns = []
         for f in schema.fields:
             if f.name not in have:
                 raise ValueError(f"{path}: missing column {f.name}")
-            if have[f.name] != f.dataType:
+            if have[f.name] == T.LongType() and isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
+                at = F.timestamp_micros(F.floor(F.col(f.name) / F.lit(1000)).cast("long"))
+                columns.append(at.cast(f.dataType).alias(f.name))
+            elif have[f.name] != f.dataType:
                 raise TypeError(f"{path}: column {f.name} is {have[f.name]}, expected {f.dataType}")
+            else:
+                columns.append(F.col(f.name))
+        df = df.select(*columns)
     return nan_to_null(df) if nan_as_null else df
 
 
@@ -53,13 +57,17 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
+# Quotes inside a field are doubled, as pandas writes them; blanks and line
+# breaks inside a field are kept.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "nullValue": "", "emptyValue": '""',
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+               "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header line; NULL is written as an empty field."""
-    (df.write.mode(mode).option("header", True).option("nullValue", "")
-       .option("emptyValue", '""').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-       .csv(path))
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (spark.read.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-            .schema(schema).csv(path))
+    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)

@@ -62,3 +62,42 @@ from ev""",
     "evtest": "select * from evsplit where is_test and score is not null",
     "scored": "select CUSTOMER_ID, Monetary, treatment, y, case when is_test then score end as Uplift_Score from evsplit",
 }
+
+
+# ---- runs of deterministic feature scores on two rule labels (U14, U15) --------------
+
+#: name -> score column; the runs stand for models.
+FEATURE_SCORES = {"delivery": "AVG_DELIVERY_TIME", "approval": "AVG_APPROVAL_TIME", "distance": "AVG_TOTAL_DISTANCE"}
+#: name -> (column, bound): the label is 1 above the bound.
+RULE_LABELS = {"recency": ("Recency", RECENCY_CHURN_DAYS), "frequency": ("Frequency", 8)}
+
+
+def rule_metrics(features: DataFrame) -> DataFrame:
+    """(label, model, run_order, response, share) of every score on every
+    label: the response among customers whose score is above its mean, and
+    their share, rounded; all runs come from one pass over the customers."""
+    means = {c: features.agg(F.avg(c)).scalar() for c in FEATURE_SCORES.values()}
+    runs = [F.struct(F.lit(label).alias("label"), F.lit(model).alias("model"),
+                     F.lit(i * len(FEATURE_SCORES) + j).alias("run_order"),
+                     (F.col(column) > bound).cast("int").alias("y"), (F.col(score) > means[score]).alias("above"))
+            for i, (label, (column, bound)) in enumerate(RULE_LABELS.items())
+            for j, (model, score) in enumerate(FEATURE_SCORES.items())]
+    return (features.select(F.inline(F.array(*runs))).groupBy("label", "model", "run_order")
+            .agg(F.round(F.avg(F.when(F.col("above"), F.col("y"))), 9).alias("response"),
+                 F.round(F.avg(F.coalesce(F.col("above"), F.lit(False)).cast("int")), 9).alias("share")))
+
+
+def metrics_sql(body: str) -> str:
+    """Oracle text over the same runs."""
+    from .catalog import oracle
+    from .oracle_sql import feature_ctes
+    ctes = feature_ctes()
+    parts = []
+    for i, (label, (column, bound)) in enumerate(RULE_LABELS.items()):
+        for j, (model, score) in enumerate(FEATURE_SCORES.items()):
+            above = f"{score} > (select avg({score}) from features)"
+            parts.append(f"""select '{label}' as label, '{model}' as model, {i * len(FEATURE_SCORES) + j} as run_order,
+  round(avg(cast({column} > {bound} as integer)) filter ({above}), 9) as response,
+  round(avg(cast(coalesce({above}, false) as integer)), 9) as share from features""")
+    ctes["metrics"] = " union all ".join(parts)
+    return oracle(ctes, body)

@@ -21,7 +21,7 @@ def test_entry_smoke(spark):
 def test_every_key_has_doc_and_most_have_oracle():
     q, s = se.queries(), se.oracle_sql()
     assert set(s) <= set(q)
-    assert all(REGISTRY[k].doc for k in q)
+    assert all(e.doc for e in REGISTRY.values())
     assert len(s) >= 50
 
 
@@ -39,11 +39,28 @@ def test_scans_are_pruned_and_filtered(spark):
     assert li and all("l_comment" not in s and "l_shipdate" not in s for s in li)
 
 
-def test_curve_windows_are_bucketed(spark):
-    p = _plan(se.queries()["qini_curve"](spark, SF001))
-    # in-bucket windows are partitioned; the only unpartitioned window runs
-    # over the bounded per-bucket totals
-    assert "Window" in p and "_bucket" in p
+def test_features_read_the_fact_once(spark, monkeypatch):
+    """With broadcast joins off, as at full scale: one lineitem scan in the
+    pass over the fact, none in the roll-up."""
+    from churnlift.functions import ranking
+    from churnlift.plans import customer_features as cf
+    from churnlift.sources import binding
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    passes = []
+    monkeypatch.setattr(cf, "materialize", lambda df: passes.append(_plan(df)) or ranking.materialize(df))
+    try:
+        rest = _plan(cf.customer_features(binding.canonical_tables(spark, SF0001)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(passes) == 1
+    assert passes[0].count("FileScan parquet [l_") == 1
+    assert "FileScan parquet [l_" not in rest and "lineitem" not in rest
+
+
+def test_customer_lines_filter_reaches_the_scan(spark):
+    p = _plan(se.queries()["customer_discount_lines"](spark, SF001))
+    assert p.count("FileScan parquet [l_") == 1
+    assert "EqualTo(o_custkey,1)" in p or "o_custkey" in re.findall(r"PushedFilters: \[([^\]]*)\]", p)[0] or "o_custkey" in p
 
 
 def test_labels_share(spark):

@@ -67,6 +67,19 @@ def rank_by_hash(df: DataFrame, strata: list[str], hash_col: str, out: str = "ra
     return j.withColumn(out, F.col("_off") + local).drop("_hb", "_off")
 
 
+def rank_in_order(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
+    """Exact 1-based rank of each row by ``order`` (unique), any type.  Rows
+    are dealt into ranges and written; each range is numbered by itself and
+    moved by the number of rows before it."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a range
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_off") + local).drop("_range", "_off")
+
+
 def quantile_buckets(df: DataFrame, col: str, num_buckets: int = 256, rel_err: float = 1e-3,
                      out: str = "_bucket") -> DataFrame:
     """Bucket rows by approximate quantile ranges of numeric ``col``: a

@@ -144,4 +144,40 @@ def op10_benchmark_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_line_crf, op2_byte_bpe, op3_ngram_jaccard, op4_pii_bootstrap, op5_wordpiece_counts, op6_toxicity,
     op7_repeated_windows, op8_hash_tree, op9_license_zstd, op10_benchmark_bm25)}
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (
+  select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as s
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) as i from w where len(ws) > 0) t),
+n as (select doc_id, count(*) as n from g group by doc_id),
+common as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from g x join g y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+links as (
+  select a, b from common join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 90 * (p.n + q.n - c)),
+reach as (
+  select doc_id as a, doc_id as b from documents
+  union select r.a, l.b from reach r join links l on r.b = l.a)
+select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.b) as component_id
+from documents d join reach r on r.a = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id""",
+    "op7_repeated_windows": r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (
+  select doc_id, i, array_to_string(ws[i:i + 34], ' ') as s
+  from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w where len(ws) >= 35) t),
+twice as (select s from win group by s having count(*) > 1),
+gone as (
+  select distinct doc_id, i + k as p from (
+    select doc_id, i, unnest(range(35)) as k from win join twice using (s)) t),
+kept as (
+  select t.doc_id, string_agg(t.word, ' ' order by t.p) as kept, count(*) as n
+  from (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w) t
+  left join gone on gone.doc_id = t.doc_id and gone.p = t.p where gone.p is null group by t.doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(kept.n, 0) as bigint) as n_removed,
+  sha256(coalesce(kept.kept, '')) as kept_sha256
+from w left join kept on kept.doc_id = w.doc_id""",
+}

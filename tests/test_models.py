@@ -90,3 +90,10 @@ def test_buckets_follow_the_rows_and_change_nothing(spark, monkeypatch):
     assert {r.s: r.cum_v for r in running_totals(df, "s", ["v"]).collect()} == one == {float(i): 500 - i for i in range(500)}
     ranked = rank_by_hash(df.withColumn("h", F.md5(F.col("s").cast("string"))).withColumn("k", F.lit(1)), ["k"], "h")
     assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 501))
+
+
+def test_rank_in_order_numbers_ranges(spark):
+    from churnlift.functions.ranking import rank_in_order
+    df = spark.range(300).select((F.col("id") % 3).alias("c"), F.col("id").cast("string").alias("v")).repartition(5)
+    got = [(r.c, r.v) for r in sorted(rank_in_order(df, ["c", "v"]).collect(), key=lambda r: r["rank"])]
+    assert got == sorted((i % 3, str(i)) for i in range(300))

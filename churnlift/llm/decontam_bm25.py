@@ -18,8 +18,9 @@ the shares of their distinct five-word shingles found in the text must reach
 ``QUESTION_OVERLAP`` and ``ANSWER_OVERLAP``.
 
 Words are runs of letters, digits and '_', in lower case.  The index is sent
-out in shards of ``SHARD`` entries, so what is broadcast is bounded whatever
-the number of items; each further shard is one more pass over the texts.
+out in shards of about ``SHARD`` entries, so one broadcast is bounded whatever
+the number of items; each further shard is looked up by one more function over
+the texts.
 
 Results for odd input: items and texts that are null, empty or without words
 match nothing; equal items are retrieved each under its id, a null item id
@@ -148,8 +149,9 @@ class Index:
 
 
 def build_index(items: DataFrame, item_id: str, text: str) -> list[tuple[Index, dict[int, int]]]:
-    """(index, item id by number) of each shard.  Counts and BM25 scores are computed by Spark; a
-    shard of ``SHARD`` entries at a time comes to the driver."""
+    """(index, item id by number) of each shard.  Counts and BM25 scores are
+    computed by Spark; items are dealt by hash to shards of about ``SHARD``
+    entries, and one shard at a time comes to the driver."""
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return pd.Series([words_of(t) for t in texts], dtype=object)
@@ -176,21 +178,16 @@ def build_index(items: DataFrame, item_id: str, text: str) -> list[tuple[Index,
     whole = Window.partitionBy("item", "part")
     posts = (scored.withColumn("s", F.col("s") / F.sum("s").over(whole))
              .groupBy("item", "part").agg(F.array_sort(F.collect_list(F.struct("term", "s"))).alias("posts"))
-             .join(words, "item").orderBy("item", "part"))
-    shards, held, known = [], [], {}
-
-    def close():
-        if held:
-            shards.append((Index(list(held), {i: w for i, (_, w) in known.items()}), {i: r for i, (r, _) in known.items()}))
-            held.clear()
-            known.clear()
-
-    for r in posts.toLocalIterator():
-        if len(held) >= SHARD and r["item"] not in known:
-            close()
-        known[r["item"]] = (r["id"], list(r["words"]))
-        held.append((r["item"], [(p["term"], p["s"]) for p in r["posts"]]))
-    close()
+             .join(words, "item"))
+    n_shards = -(-sizes["n"] // SHARD)
+    posts = written(posts.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "item"), F.lit(n_shards))), "postings")
+    shards = []
+    for k in range(n_shards):
+        rows = posts.where(F.col("shard") == k).orderBy("item", "part").collect()
+        known = {r["item"]: (r["id"], list(r["words"])) for r in rows}
+        entries = [(r["item"], [(p["term"], p["s"]) for p in r["posts"]]) for r in rows]
+        if entries:
+            shards.append((Index(entries, {i: w for i, (_, w) in known.items()}), {i: r for i, (r, _) in known.items()}))
     return shards
 
 

@@ -120,7 +120,7 @@ def sketch(texts: DataFrame, width: int, cells: int = CELLS) -> np.ndarray:
     merged = parts.groupBy("row", "segment").applyInPandas(_merge, "row int, segment int, bits binary")
     bits = np.zeros((ROWS, cells // 8), np.uint8)
     step = SEGMENT // 8
-    for r in merged.toLocalIterator():
+    for r in merged.collect():
         bits[r["row"], r["segment"] * step:(r["segment"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
@@ -145,41 +145,48 @@ def _candidates(batches: Iterator[pd.DataFrame], width: int, bits: np.ndarray) -
     """
     hashes = WordHashes()
     for batch in batches:
-        keys, firsts, sizes, anchor, window = [], [], [], [], []
-        copied: dict[bytes, bool] = {}
+        keys: list[bytes] = []
+        copied: dict[bytes, int] = {}
+        window, place, owner, anchor, text_of = [], [], [], [], []
+        copies, hits = [], 0
         for key, t in zip(batch["key"], batch["text"]):
             if key in copied:  # an equal text stood in this batch: it repeats as a whole
-                copied[key] = True
+                copies.append(copied[key])
                 continue
-            copied[key] = False
+            copied[key] = len(keys)
+            keys.append(key)
             h = hashes.of(utf8(t).split())
             a, _, first, last = anchors(h, width)
-            hit = np.flatnonzero(_estimated_repeated(bits, a))
-            if len(hit):
-                w = grams(h, width)
-                for i in hit:
-                    keys.append(key)
-                    firsts.append(int(first[i]))
-                    sizes.append(int(last[i] - first[i] + 1))
-                    anchor.append(int(a[i].astype(np.int64)))
-                    window.append(w[first[i]:last[i] + 1])
-        if not keys:
+            hit = _estimated_repeated(bits, a)
+            if hit.any():
+                at = np.flatnonzero(np.repeat(hit, last - first + 1))
+                window.append(grams(h, width)[at])
+                place.append(at)
+                owner.append(np.repeat(np.arange(hits, hits + hit.sum()), (last - first + 1)[hit]))
+                anchor.append(a[hit])
+                text_of.append(np.full(hit.sum(), len(keys) - 1))
+                hits += hit.sum()
+        if not hits:
             continue
-        flat = np.concatenate(window)
-        _, leaders, back, count = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-        here = (count[back] > 1) | np.repeat([copied[k] for k in keys], sizes)
-        leader = np.zeros(len(flat), bool)
-        leader[leaders] = True
+        window, place, owner = np.concatenate(window), np.concatenate(place), np.concatenate(owner)
+        anchor, text_of = np.concatenate(anchor).view(np.int64), np.concatenate(text_of)
+        _, leaders, back, count = np.unique(window, return_index=True, return_inverse=True, return_counts=True)
+        twice = (count[back] > 1) | np.isin(text_of, copies)[owner]
+        lead = np.zeros(len(window), bool)
+        lead[leaders] = True
+        data = window.tobytes()
         out = []
-        for i, stop in enumerate(np.cumsum(sizes)):
-            twice, lead = here[stop - sizes[i]:stop], leader[stop - sizes[i]:stop]
-            for a, b in zip(*runs(twice)):
-                out.append((SETTLED, 0, keys[i], firsts[i] + int(a), int(b - a), b""))
-            for a, b in zip(*runs(~twice)):
-                out.append((OPEN, anchor[i], keys[i], firsts[i] + int(a), int(b - a), window[i][a:b].tobytes()))
-            for a, b in zip(*runs(twice & lead)):
-                out.append((WITNESS, anchor[i], None, 0, int(b - a), window[i][a:b].tobytes()))
-        yield pd.DataFrame(out, columns=["kind", "anchor", "key", "first", "size", "windows"])
+        for kind, mask in ((SETTLED, twice), (OPEN, ~twice), (WITNESS, twice & lead)):
+            at = np.flatnonzero(mask)
+            if len(at):
+                new = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(owner[at]) != 0)))
+                start = at[new]
+                size = np.diff(np.concatenate((np.flatnonzero(new), [len(at)])))
+                out.append(pd.DataFrame({
+                    "kind": kind, "anchor": anchor[owner[start]], "first": place[start], "size": size,
+                    "key": [None if kind == WITNESS else keys[i] for i in text_of[owner[start]]],
+                    "windows": [b"" if kind == SETTLED else data[8 * i:8 * (i + n)] for i, n in zip(start, size)]}))
+        yield pd.concat(out)[["kind", "anchor", "key", "first", "size", "windows"]]
 
 
 def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import listed
+from corpus import listed
 
 import corpus_pipeline
 from churnlift.llm import hash_tree, jaccard_tiles, substring_sketch, text

@@ -4,7 +4,7 @@ import random
 
 import brute
 import public_tokenizers
-from conftest import listed
+from corpus import listed
 
 from churnlift.llm import (byte_bpe, decontam_bm25, license_zstd, pii_bootstrap, quality_crf, toxicity_counterfactual,
                            wordpiece_counts)

@@ -16,8 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     the label of that label, so paths shrink by half or better; rounds are
     written to the shared folder and stop when no label changes.
     """
-    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-                   .unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "edges")
+    both = (edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
+            .unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))))
     labels = written(both.groupBy("node").agg(F.min("other").alias("m"))
                      .select("node", F.least("node", "m").alias("root")), "labels")
     while True:

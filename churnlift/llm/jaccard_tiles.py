@@ -8,10 +8,10 @@ can have.  So two linked sets agree entirely in at least one part: a *tile* is
 compared.  A class also joins the tiles of the next band when a partner may
 lie there.
 
-Inside a tile every class is compared with the hub (the class that shares most
-tiles).  Classes that the hub's component already holds drop out, and the next
-round takes the next hub; after ``STAR_ROUNDS`` rounds what is still apart is
-compared in blocks.  A comparison first bounds the overlap from above by bit
+Tiles of the same classes count once.  Inside a tile every class is compared
+with the hub (the class that shares most tiles).  Classes that the hub's
+component holds then drop out, and after ``STAR_ROUNDS`` rounds of hubs what
+is still apart is compared in blocks.  A comparison first bounds the overlap from above by bit
 counts of hashed bitmaps (each bit set on one side only is a shingle missing on
 the other), then intersects the sorted arrays.
 
@@ -44,9 +44,10 @@ from .text import WordHashes, mix, shingles, utf8
 
 #: Size ratio of neighbouring bands.
 BAND = 1.5
-STAR_ROUNDS = 4
+STAR_ROUNDS = 1
 #: Members of one side of a block comparison.
 BLOCK = 512
+SEEN_CLASSES = 200_000
 #: Rows (two longs each) up to which a key list is broadcast; beyond, a shuffle join.
 BROADCAST_ROWS = 1_000_000
 
@@ -136,8 +137,8 @@ def tiles(arr: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(arr: np.ndarray) -> bytes:
-    """Hashed bitmap of at least two bits a shingle, a power of two wide."""
-    width = max(64, 1 << (2 * len(arr) - 1).bit_length())
+    """Hashed bitmap of at least four bits a shingle, a power of two wide."""
+    width = max(64, 1 << (4 * len(arr) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(mix(arr) % _U(width)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -164,11 +165,14 @@ SETS = "id long, text_key long, size int, cls long, check long, bitmap binary, t
 
 def set_table(df: DataFrame, id_col: str, text: str, words: int, percent: int) -> DataFrame:
     """One row a text: size of its set, class (64 bits, 64 more to check it),
-    bitmap and tile keys.  Copies in one batch carry the last two once."""
+    bitmap and tile keys.  Copies met by one task carry the last two once (it
+    forgets after ``SEEN_CLASSES`` classes, which costs repeated rows only)."""
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
-            out, seen = [], set()
+            out = []
+            if len(seen) > SEEN_CLASSES:
+                seen.clear()
             for i, key, t in zip(batch["id"], batch["text_key"], batch["text"]):
                 i = None if pd.isna(i) else int(i)
                 arr = shingles(hashes.of(utf8(t).translate(LOWER).split()), words)
@@ -216,7 +220,8 @@ class _Verifier:
                 yield pd.DataFrame({"cls": batch["cls"], "arr": [
                     shingles(hashes.of(utf8(t).translate(LOWER).split()), words).tobytes() for t in batch["text"]]})
 
-        where = written(self.classes.join(wanted, "cls").select("cls", F.col("id").alias("rep"), F.col("text_key").alias("rep_key")), "reps")
+        where = written(self.classes.join(wanted, "cls")
+                        .select("cls", F.col("id").alias("rep"), F.col("text_key").alias("rep_key")), "reps")
         same = self.rows["id"].eqNullSafe(where["rep"]) & (self.rows["text_key"] == where["rep_key"])
         texts = _joined(self.rows, where, same).select("cls", "text")
         return texts.mapInPandas(build, "cls long, arr binary").dropDuplicates(["cls"])
@@ -241,36 +246,80 @@ class _Verifier:
         left = self.classes.select(F.col("cls").alias("a"), F.col("bitmap").alias("x"), F.col("size").alias("m"))
         right = self.classes.select(F.col("cls").alias("b"), F.col("bitmap").alias("y"), F.col("size").alias("n"))
         near = written(pairs.join(right, "b").join(left, "a").where(may_link("x", "y", "m", "n")).select("a", "b"), "near")
-        hubs = self.arrays(near.select(F.col("a").alias("cls")).distinct()).select(F.col("cls").alias("a"), F.col("arr").alias("x"))
-        rest = self.arrays(near.select(F.col("b").alias("cls")).distinct()).select(F.col("cls").alias("b"), F.col("arr").alias("y"))
-        full = _joined(rest, near, "b").join(hubs, "a")
+        # both sides join the same arrays by class, so one exchange of them serves both
+        arrays = self.arrays(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        full = (near.join(arrays.select(F.col("cls").alias("b"), F.col("arr").alias("y")), "b")
+                .join(arrays.select(F.col("cls").alias("a"), F.col("arr").alias("x")), "a"))
         return written(full.where(do_link("x", "y")).select("a", "b"), "links")
 
 
+def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs within each group of ``rows`` (sorted by group) with different
+    roots, of different blocks unless the group is one block, whose bitmaps
+    allow a link.  Row i meets row i + 1, i + 2, ... of its group; all groups
+    take the same step at once."""
+    key = rows[["tile", "i", "j"]].to_numpy()
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
+    length = np.diff(np.append(new, len(rows)))
+    group = np.repeat(np.arange(len(new)), length)
+    left = np.repeat(new + length, length) - np.arange(len(rows))  # rows to the group's end, this one included
+    words = rows["bitmap"].str.len().to_numpy() // 8
+    width = np.minimum.reduceat(words, new)[group]
+    cls, root, block = (rows[c].to_numpy() for c in ("cls", "root", "block"))
+    size, one = rows["size"].to_numpy().astype(np.int64), (rows["i"] == rows["j"]).to_numpy()
+    out = []
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)  # whole groups, in order
+        bits = np.stack([_folded(x, w) for x in rows["bitmap"].iloc[at]])
+        n, r, c, k, rest, alone = size[at], root[at], cls[at], block[at], left[at], one[at]
+        p, step = np.arange(len(at)), 1
+        while len(p := p[rest[p] > step]):
+            a = p[(r[p] != r[p + step]) & (alone[p] | (k[p] != k[p + step]))]
+            b = a + step
+            common = np.minimum(n[a] - np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64),
+                                n[b] - np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64))
+            may = 100 * common >= percent * (n[a] + n[b] - common)
+            out.append(np.stack([c[a[may]], c[b[may]]], 1))
+            step += 1
+    pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}).drop_duplicates()
+
+
+def _folded(bitmap: bytes, words: int) -> np.ndarray:
+    x = np.frombuffer(bitmap, np.uint64)
+    while len(x) > words:
+        x = x[:len(x) // 2] | x[len(x) // 2:]
+    return x
+
+
 def _blocks(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one tile and different components whose bitmaps allow a
-    link: members in blocks of ``BLOCK``, each pair of blocks one group."""
+    link: members in blocks of ``BLOCK``, each pair of blocks one group of at
+    most two blocks."""
     row = F.row_number().over(Window.partitionBy("tile").orderBy("rank"))
     last = F.max("block").over(Window.partitionBy("tile"))
     dealt = (rest.withColumn("block", F.floor((row - 1) / F.lit(BLOCK)).cast("int")).withColumn("last", last)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
              .select("tile", "cls", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-             .join(classes.select("cls", "size", "bitmap"), "cls"))
+             .join(classes.select("cls", "size", "bitmap"), "cls")
+             .repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        rule, out = Rule(percent), []
-        cls, root, block = group["cls"].to_numpy(), group["root"].to_numpy(), group["block"].to_numpy()
-        size, bits = group["size"].to_numpy(), list(group["bitmap"])
-        one = group["i"].iloc[0] == group["j"].iloc[0]
-        for p in range(len(cls)):
-            for q in range(p + 1, len(cls)):
-                if root[p] != root[q] and (one or block[p] != block[q]) and \
-                        rule.linked(overlap_bound(bits[p], bits[q], size[p], size[q]), size[p], size[q]):
-                    out.append((cls[p], cls[q]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < 8 * BLOCK:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            # the last group may go on in the next batch
+            waits = (rows[["tile", "i", "j"]] == rows[["tile", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
+            if not waits.all():
+                yield _compare(rows[~waits].reset_index(drop=True), percent)
+            held = [rows[waits]]
+        if held:
+            yield _compare(pd.concat(held, ignore_index=True), percent)
 
-    found = dealt.groupBy("tile", "i", "j").applyInPandas(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.select("tile", "i", "j", "cls", "root", "block", "size", "bitmap").mapInPandas(compare, "a long, b long").distinct()
 
 
 def _grouped(df: DataFrame, id_col: str, text: str, words: int, percent: int) -> DataFrame:
@@ -278,9 +327,11 @@ def _grouped(df: DataFrame, id_col: str, text: str, words: int, percent: int) ->
     (null without words)."""
     sets = written(set_table(df, id_col, text, words, percent), "sets")
     same = Window.partitionBy("tile")
+    # a tile is renamed after its members: equal tiles merge, and a chance merge only adds comparisons
     met = (sets.where("tiles is not null").select(F.explode("tiles").alias("tile"), "cls")
-           .withColumn("low", F.min("cls").over(same)).withColumn("high", F.max("cls").over(same))
-           .where("low != high").select("tile", "cls").distinct())
+           .withColumn("low", F.min("cls").over(same)).withColumn("high", F.max("cls").over(same)).where("low != high")
+           .withColumn("all", F.bit_xor(F.xxhash64("cls")).over(same))
+           .select(F.xxhash64("all", "low", "high").alias("tile"), "cls").distinct())
     met = written(met, "tiles")
     one = F.when(F.col("c") == F.col("d"), F.col("bitmap")).otherwise(
         F.raise_error(F.lit("two sets share a 64-bit class id")).cast("binary"))
@@ -294,25 +345,23 @@ def _grouped(df: DataFrame, id_col: str, text: str, words: int, percent: int) ->
     best_first = same.orderBy(F.desc("score"), "cls")
     members = written(met.join(score, "cls").select("tile", "cls", F.row_number().over(best_first).alias("rank")), "members")
     spark = df.sparkSession
-    links = tried = spark.createDataFrame([], "a long, b long")
+    links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
     for turn in range(1, STAR_ROUNDS + 2):
         rest = (members.where(F.col("rank") >= turn).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
                 .withColumn("root", F.coalesce("root", "cls"))
                 .withColumn("low", F.min("root").over(same)).withColumn("high", F.max("root").over(same))
-                .where("low != high").drop("low", "high"))
-        rest = written(rest, "rest")
-        if not rest.limit(1).count():
-            break
+                .where("low != high"))
         if turn <= STAR_ROUNDS:
             hub = F.min_by(F.struct("cls", "root"), "rank").over(same)
             pairs = (rest.withColumn("hub", hub).where(F.col("hub.root") != F.col("root"))
                      .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct())
         else:
             pairs = _blocks(rest, classes, percent)
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(pairs, "pairs")
+        if not pairs.count():
+            break  # a hub has a partner in every tile that is left: none is
         links = links.unionByName(verifier.links(pairs))
-        tried = tried.unionByName(pairs)
         roots = components(links)
     return (sets.select("id", "text_key", "size", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
             .select("id", "text_key", "size", F.coalesce("root", "cls").alias("root")))
@@ -338,11 +387,10 @@ def keep_one(df: DataFrame, id_col: str, text: str, words: int = 5, percent: int
             .select(F.col("id").alias("drop_id"), F.col("text_key").alias("drop_key"), "n",
                     (order == F.col("best")).alias("stays")))
     told = written(told.where("not stays or n > 1"), "dropped")
-    tag = F.xxhash64(F.col(text))
-    same = df[id_col].cast("long").eqNullSafe(F.col("drop_id")) & (tag == F.col("drop_key"))
 
     def matched(part: DataFrame, how: str) -> DataFrame:
         small = part.count() <= BROADCAST_ROWS
+        same = df[id_col].cast("long").eqNullSafe(part["drop_id"]) & (F.xxhash64(df[text]) == part["drop_key"])
         return df.join(F.broadcast(part) if small else part, same, how)
 
     # rows that stay but stand there repeatedly are cut to one

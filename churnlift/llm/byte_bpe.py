@@ -25,6 +25,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 import tiktoken
@@ -137,7 +138,8 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, out: str = "ids")
     def encode_here(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(path, pattern)
         for texts in batches:
-            yield pd.Series([enc.encode_ordinary(t) if t else [] for t in texts], dtype=object)
+            # ids as arrays of 4 bytes each, not as lists of Python ints
+            yield pd.Series([enc.encode_to_numpy(t or "", disallowed_special=()).view(np.int32) for t in texts], dtype=object)
 
     columns = [F.col(c) for c in df.columns if c.lower() != out.lower()]
     is_long = F.coalesce(F.char_length(F.col(text)), F.lit(0)) > CHUNK
@@ -157,7 +159,7 @@ def decode(df: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFram
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = byte_table(path)
         for lists in batches:
-            yield pd.Series([b"" if x is None else b"".join(map(table.__getitem__, x)) for x in lists], dtype=object)
+            yield pd.Series([b"" if x is None else b"".join(map(table.__getitem__, x.tolist())) for x in lists], dtype=object)
 
     return df.withColumn(out, decoded(F.col(ids)))
 

@@ -46,7 +46,7 @@ def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
-    prepare(spark)
+    prepare(spark, rows=300)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = byte_bpe.encode(docs, "text", VOCABULARY, public_tokenizers.PATTERN, "ids").select("doc_id", "ids")
     back = byte_bpe.decode(ids, "ids", VOCABULARY, "bytes")

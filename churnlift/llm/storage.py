@@ -9,16 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 #: Rows and bytes of one Arrow batch handed to Python; bounds a worker's memory.
-ARROW_CONF = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
-}
+BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Small Arrow batches: texts can be long."""
-    for key, value in ARROW_CONF.items():
-        spark.conf.set(key, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

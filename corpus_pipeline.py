@@ -45,7 +45,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding returns its bytes."""
-    prepare(spark)
+    prepare(spark, rows=300)
     ids = byte_bpe.encode(docs, "text", VOCABULARY, public_tokenizers.PATTERN, "ids")
     back = byte_bpe.decode(ids, "ids", VOCABULARY, "bytes")
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",

@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 MAX_TEXTS = 5_000
 MIN_TEXTS = 4
 MIN_T = 3.0
@@ -113,39 +115,19 @@ class _Rows:
         return np.bincount(self.col, r[self.row] * self.val, self.shape[1])
 
 
-def _telling(rows: list[dict[str, float]], y: np.ndarray) -> list[str]:
-    """Features that differ between the labels, and the identity terms met."""
-    total = [Counter(), Counter()]
-    square, texts = [Counter(), Counter()], Counter()
-    for row, label in zip(rows, y):
-        for f, v in row.items():
-            texts[f] += 1
-            total[int(label)][f] += v
-            square[int(label)][f] += v * v
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    out = []
-    for f, n in texts.items():
-        m1, m0 = total[1][f] / n1, total[0][f] / n0
-        error = math.sqrt((square[1][f] / n1 - m1 * m1) / n1 + (square[0][f] / n0 - m0 * m0) / n0 + 1e-12)
-        if f in SWAP or n >= MIN_TEXTS and abs(m1 - m0) >= MIN_T * error:
-            out.append(f)
-    return sorted(out)
-
-
-def train(samples: list[tuple[list[str], int]], l1: float = 2e-4, swap_weight: float = 1.0, steps: int = 500) -> ToxicityModel:
-    """Fit on (words, label); both labels get the same total weight."""
-    y = np.array([label for _, label in samples], float)
+def train(rows: list[dict[str, float]], moved: list[dict[str, float]], labels: list[int], l1: float = 2e-4,
+          swap_weight: float = 1.0, steps: int = 500) -> ToxicityModel:
+    """Fit on feature values and labels; ``moved`` holds the value changes of
+    the swapped copies.  Both labels get the same total weight."""
+    y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(math.inf if len(y) and y[0] else -math.inf)
-    rows = [features(words) for words, _ in samples]
-    index = {f: i for i, f in enumerate(_telling(rows, y))}
+    index = {f: i for i, f in enumerate(sorted({f for r in rows + moved for f in r}))}
 
     def sparse(many: list[dict[str, float]]) -> _Rows:
-        return _Rows([{index[f]: v for f, v in r.items() if f in index} for r in many], len(index))
+        return _Rows([{index[f]: v for f, v in r.items()} for r in many], len(index))
 
-    x = sparse(rows)
-    pairs = [(features(words), features(other)) for words, _ in samples if (other := swapped(words)) is not None]
-    moved = sparse([{f: a.get(f, 0.0) - b.get(f, 0.0) for f in a.keys() | b.keys()} for a, b in pairs])
+    x, pairs, moved = sparse(rows), moved, sparse(moved)
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     pair_weight = np.full(len(pairs), 2 * swap_weight / max(1, len(pairs)))
     # a separable bound of the curvature gives each feature its own step
@@ -178,14 +160,39 @@ def fit(df: DataFrame, text: str, label: str, max_texts: int = MAX_TEXTS) -> Tox
     texts with equal labels count once."""
     rows = (df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
             .select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.sha2(F.col(text), 256).alias("h")))
-    sample = (rows.groupBy("h", "y").agg(F.first("text").alias("text")).orderBy("h", "y").limit(max_texts))
-
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([words_of(t) for t in texts], dtype=object)
-
-    got = sample.select("h", "y", split("text").alias("words")).orderBy("h", "y").toLocalIterator()
-    return train([(r["words"], r["y"]) for r in got])
+    sample = written(rows.groupBy("h", "y").agg(F.first("text").alias("text")).orderBy("h", "y").limit(max_texts), "labelled")
+
+    @F.pandas_udf("array<struct<f:string,v:double>>")
+    def values(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"f": f, "v": v} for f, v in features(words_of(t)).items()] for t in texts], dtype=object)
+
+    # which features tell the labels apart is settled by Spark; only their values come to the driver
+    size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = max(1, size.get(1, 0)), max(1, size.get(0, 0))
+    cells = sample.select("y", F.inline(values("text")))
+
+    def total(c, y):
+        return F.sum(F.when(F.col("y") == y, c).otherwise(0.0))
+    v = F.col("v")
+    means = cells.groupBy("f").agg(F.count(F.lit(1)).alias("n"), (total(v, 1) / n1).alias("m1"), (total(v, 0) / n0).alias("m0"),
+                                   (total(v * v, 1) / n1).alias("q1"), (total(v * v, 0) / n0).alias("q0"))
+    error = F.sqrt((F.col("q1") - F.col("m1") * F.col("m1")) / n1 + (F.col("q0") - F.col("m0") * F.col("m0")) / n0 + 1e-12)
+    telling = means.where((F.col("n") >= MIN_TEXTS) & (F.abs(F.col("m1") - F.col("m0")) >= MIN_T * error))
+    kept = {r["f"] for r in telling.select("f").collect()} | SWAP.keys()
+
+    @F.pandas_udf("own map<string,double>, moved map<string,double>")
+    def chosen(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            words = words_of(t)
+            a, other = features(words), swapped(words)
+            b = features(other) if other is not None else a
+            out.append(({f: v for f, v in a.items() if f in kept},
+                        {f: d for f in kept if (d := a.get(f, 0.0) - b.get(f, 0.0))}))
+        return pd.DataFrame(out, columns=["own", "moved"])
+
+    got = sample.select("h", "y", chosen("text").alias("c")).select("h", "y", "c.*").orderBy("h", "y").collect()
+    return train([r["own"] for r in got], [r["moved"] for r in got if r["moved"]], [r["y"] for r in got])
 
 
 def score(df: DataFrame, text: str, model: ToxicityModel, out: str = "score") -> DataFrame:

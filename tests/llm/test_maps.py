@@ -212,6 +212,35 @@ def test_license_wording(spark, docs, no_docs):
     assert license_zstd.scan(docs, "text").where("scan.n_blocks > 0").count() == 0
 
 
+def test_license_in_long_candidate_blocks():
+    rng = random.Random(14)
+    scanner = license_zstd.Scanner(license_zstd.TEMPLATES)
+    for size in (1000, 20_000):
+        words = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        words[::50] = [rng.choice(["license", "permission"]) for _ in words[::50]]
+        at = size // 2 + 7
+        text = " ".join(words[:at] + ["Released under the MIT License."] + words[at:])
+        n_blocks, hits = scanner.text(text)
+        assert n_blocks == 1 and [(h[0], h[3]) for h in hits] == [("MIT", 0)]
+
+
+def test_license_places_by_brute_force():
+    rng = random.Random(15)
+    scanner = license_zstd.Scanner(license_zstd.TEMPLATES)
+    for name, template in zip(scanner.names * 4, scanner.words * 4):
+        words = list(template)
+        for _ in range(rng.randrange(license_zstd.allowed(template) + 2)):
+            at = rng.randrange(len(words))
+            words[at:at + rng.randrange(2)] = rng.choice([["license"], ["other"], []])
+        text = [f"w{rng.randrange(300)}" for _ in range(90)]
+        text[20:20] = words
+        pieces = scanner.pieces(text)
+        for i, t in enumerate(scanner.words):
+            want = license_zstd.differences(t, text)[1]
+            got = [(n, s + a, s + b) for k, s, e in pieces if k == i for n, a, b in license_zstd.differences(t, text[s:e])[1]]
+            assert got == want
+
+
 def test_word_differences_by_brute_force():
     rng = random.Random(6)
 

@@ -224,6 +224,14 @@ def test_license_in_long_candidate_blocks():
         assert n_blocks == 1 and [(h[0], h[3]) for h in hits] == [("MIT", 0)]
 
 
+def test_every_license_of_a_block_is_confirmed():
+    rng = random.Random(16)
+    names = ["Apache-2.0", "BSD-2-Clause", "CC-BY-NC-4.0", "GPL-3.0", "MIT", "CC0-1.0", "MIT"]
+    text = "".join(license_zstd.TEMPLATES[n] + " " + " ".join(f"w{rng.randrange(900)}" for _ in range(20)) + " " for n in names)
+    n_blocks, hits = license_zstd.Scanner(license_zstd.TEMPLATES).text(text)
+    assert n_blocks == 1 and sorted((h[0], h[3]) for h in hits) == sorted((n, 0) for n in names)
+
+
 def test_license_places_by_brute_force():
     rng = random.Random(15)
     scanner = license_zstd.Scanner(license_zstd.TEMPLATES)

@@ -18,13 +18,6 @@ from ..operators.outliers import iforest, ocsvm
 from ..operators.uplift import curves, learners
 from ..operators.uplift.split import stratified_split
 
-#: Sizes of the registered keys: the reference's, but for the two-model booster
-#: the reference's default booster (100 rounds at 0.3) in place of 1000 rounds at
-#: 0.05.  A round is about ten small jobs, so 1000 of them take 4 to 7 minutes a
-#: fit whatever the data, and the keys make four such fits.  Pass
-#: ``learners.REFERENCE_SIZES`` (the functions' default) for the full run.
-QUERY_SIZES = dict(learners.REFERENCE_SIZES, gbt=learners.CT_GBT_PARAMS)
-
 KEY = "CUSTOMER_ID"
 LABELS = {"Isolation Forest": "Churn_Label_IsoForest", "OCSVM": "Churn_Label_OCSVM"}
 

@@ -60,6 +60,23 @@ def test_reference_sizes_are_the_defaults(points):
     assert (logistic.getMaxIter(), logistic.getRegParam()) == (1000, 1 / 50)
 
 
+@pytest.mark.parametrize("key", ["uplift_two_models", "model_grid", "model_targets"])
+def test_registered_keys_fit_the_reference_sizes(monkeypatch, key):
+    from churnlift.plans import queries
+    from churnlift.plans.catalog import REGISTRY
+    seen = []
+
+    def zoo(sizes):
+        seen.append(sizes)
+        raise InterruptedError
+    monkeypatch.setattr(learners, "model_zoo", zoo)
+    monkeypatch.setattr(queries, "_features", lambda *args: None)
+    monkeypatch.setattr(queries, "_model_input", lambda *args: None)
+    with pytest.raises(InterruptedError):
+        REGISTRY[key].fn(None, None)
+    assert seen == [learners.REFERENCE_SIZES]
+
+
 @pytest.mark.parametrize("name", ["TwoModels_XGB_vs_RF", "TwoModels_LOGREG_vs_SVM", "CT_XGB"])
 def test_learners_follow_the_signal(points, name):
     sizes = dict(learners.REFERENCE_SIZES, gbt=dict(trees=5, step=0.1, depth=3), ct_gbt=dict(trees=5, step=0.3, depth=3),

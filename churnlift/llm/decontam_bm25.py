@@ -46,6 +46,8 @@ K1, B = 1.2, 0.75
 ENTRY = 64
 PASSAGE = 2 * ENTRY
 BLOCK = 16
+#: Passages whose block bounds come from one running sum; a short one keeps its rounding small.
+RUN = 256
 SHARD = 1024
 THRESHOLD = 0.6
 SHINGLE = 5
@@ -113,14 +115,15 @@ class Index:
         starts = np.arange(0, max(1, len(words) - ENTRY), PASSAGE - ENTRY)
         low, high = np.searchsorted(place, starts), np.searchsorted(place, starts + PASSAGE)
         best: dict[int, float] = {}
-        for at in range(0, len(starts), 4096):  # bounds the sums of very long texts
-            a, b = low[at:at + 4096], high[at:at + 4096]
+        for at in range(0, len(starts), RUN):  # bounds the sums of very long texts
+            a, b = low[at:at + RUN], high[at:at + RUN]
             base = a[0]
             sums = np.zeros((b[-1] - base + 1, self.n_blocks), np.float32)
             np.cumsum(self.block_max[ids[base:b[-1]]], axis=0, out=sums[1:])
             bound = sums[b - base] - sums[a - base]
-            # room for rounding of the running single-precision sums
-            open_blocks = bound >= threshold - 1e-3 - 1e-6 * sums[-1]
+            # each of the passage's additions errs by half a unit of the running
+            # single-precision sum at most; 1e-3 covers the rounded block maxima
+            open_blocks = bound >= threshold - 1e-3 - PASSAGE * 2.0 ** -24 * sums[-1]
             for p in np.flatnonzero(open_blocks.any(axis=1)):
                 terms = np.unique(ids[a[p]:b[p]])
                 n = self.first[terms + 1] - self.first[terms]

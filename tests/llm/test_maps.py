@@ -309,3 +309,12 @@ def test_wand_retrieves_all_above_threshold():
                     want[k] = max(want.get(k, 0), score)
         got = index.retrieve(text, 0.6)
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_rounded_bounds_close_no_block():
+    score = 10.49 * 2.0 ** -11  # rounds down in single precision beside a sum of 5000
+    terms = [f"t{k}" for k in range(118)]
+    index = decontam_bm25.Index([(0, [(t, score) for t in terms]), (1, [("x", 1.0)])], {0: terms, 1: ["x"]})
+    words = ["x"] * 5000 + ["z"] * 120 + terms + ["z"] * 10
+    got = index.retrieve(words, 0.6)
+    assert got.keys() == {0, 1} and abs(got[0] - 118 * score) < 1e-9

@@ -18,9 +18,10 @@ the shares of their distinct five-word shingles found in the text must reach
 ``QUESTION_OVERLAP`` and ``ANSWER_OVERLAP``.
 
 Words are runs of letters, digits and '_', in lower case.  The index is sent
-out in shards of about ``SHARD`` entries, so one broadcast is bounded whatever
-the number of items; each further shard is looked up by one more function over
-the texts.
+out in shards of about ``SHARD`` entries.  Of several shards one at a time is
+collected, sent out, looked up in a pass over the texts whose hits are written
+by text digest, and dropped; so the driver and each executor hold one shard
+whatever the number of items.
 
 Results for odd input: items and texts that are null, empty or without words
 match nothing; equal items are retrieved each under its id, a null item id
@@ -32,6 +33,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -151,10 +153,10 @@ class Index:
         return out
 
 
-def build_index(items: DataFrame, item_id: str, text: str) -> list[tuple[Index, dict[int, int]]]:
-    """(index, item id by number) of each shard.  Counts and BM25 scores are
-    computed by Spark; items are dealt by hash to shards of about ``SHARD``
-    entries, and one shard at a time comes to the driver."""
+def build_index(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame | None, int]:
+    """Postings of all entries with their shard, and the number of shards.
+    Counts and BM25 scores are computed by Spark; items are dealt by hash to
+    shards of about ``SHARD`` entries.  No entries give no table."""
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return pd.Series([words_of(t) for t in texts], dtype=object)
@@ -171,7 +173,7 @@ def build_index(items: DataFrame, item_id: str, text: str) -> list[tuple[Index,
     entries = words.select("item", F.posexplode(cut("words")).alias("part", "entry_words"))
     sizes = entries.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("entry_words")).alias("mean")).first()
     if not sizes["n"]:
-        return []
+        return None, 0
     counts = (entries.select("item", "part", F.size("entry_words").alias("length"), F.explode("entry_words").alias("term"))
               .groupBy("item", "part", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
     seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -183,15 +185,16 @@ def build_index(items: DataFrame, item_id: str, text: str) -> list[tuple[Index,
              .groupBy("item", "part").agg(F.array_sort(F.collect_list(F.struct("term", "s"))).alias("posts"))
              .join(words, "item"))
     n_shards = -(-sizes["n"] // SHARD)
-    posts = written(posts.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "item"), F.lit(n_shards))), "postings")
-    shards = []
-    for k in range(n_shards):
-        rows = posts.where(F.col("shard") == k).orderBy("item", "part").collect()
-        known = {r["item"]: (r["id"], list(r["words"])) for r in rows}
-        entries = [(r["item"], [(p["term"], p["s"]) for p in r["posts"]]) for r in rows]
-        if entries:
-            shards.append((Index(entries, {i: w for i, (_, w) in known.items()}), {i: r for i, (r, _) in known.items()}))
-    return shards
+    return written(posts.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "item"), F.lit(n_shards))), "postings"), n_shards
+
+
+def collected(posts: DataFrame, shard: int) -> tuple[Index, dict[int, int]] | None:
+    """(index, item id by number) of one shard."""
+    rows = posts.where(F.col("shard") == shard).orderBy("item", "part").collect()
+    if not rows:
+        return None
+    entries = [(r["item"], [(p["term"], p["s"]) for p in r["posts"]]) for r in rows]
+    return Index(entries, {r["item"]: list(r["words"]) for r in rows}), {r["item"]: r["id"] for r in rows}
 
 
 HITS = "array<struct<item_id:long,score:double,question:double,answer:double>>"
@@ -211,15 +214,30 @@ def _lookup(sent, threshold: float):
 
 def find(df: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, out: str = "hits",
          threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with the verified items of every whole text in ``out``."""
+    """``df`` with the verified items of every whole text in ``out``.  With
+    several shards ``df`` is read once for each."""
     sc = df.sparkSession.sparkContext
-    parts = []
-    for n, shard in enumerate(build_index(items, item_id, item_text)):
-        parts.append(fresh(df, f"{out}_{n}"))
-        df = df.withColumn(parts[-1], _lookup(sc.broadcast(shard), threshold)(F.col(text)))
-    if not parts:
+    posts, n_shards = build_index(items, item_id, item_text)
+    if not n_shards:
         return df.withColumn(out, F.array().cast(HITS))
-    return df.withColumn(out, F.concat(*[F.col(p) for p in parts])).drop(*parts)
+    if n_shards == 1:
+        return df.withColumn(out, _lookup(sc.broadcast(collected(posts, 0)), threshold)(F.col(text)))
+    key, found = fresh(df, "key"), fresh(df, "found")
+    texts = df.select(F.md5(F.col(text)).alias(key), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    parts = []
+    for k in range(n_shards):
+        shard = collected(posts, k)
+        if shard is None:
+            continue
+        sent = sc.broadcast(shard)
+        del shard
+        hits = texts.select(key, _lookup(sent, threshold)("text").alias("hits")).where(F.size("hits") > 0)
+        parts.append(written(hits.groupBy(key).agg(F.first("hits").alias("hits")).withColumn("shard", F.lit(k)), "hits"))
+        sent.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("shard", "hits")))["hits"].alias(found))
+    return (df.join(every, F.md5(F.col(text)) == F.col(key), "left")
+            .withColumn(out, F.coalesce(F.flatten(found), F.array().cast(HITS))).drop(key, found))
 
 
 def keep_clean(df: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:

@@ -318,3 +318,21 @@ def test_rounded_bounds_close_no_block():
     words = ["x"] * 5000 + ["z"] * 120 + terms + ["z"] * 10
     got = index.retrieve(words, 0.6)
     assert got.keys() == {0, 1} and abs(got[0] - 118 * score) < 1e-9
+
+
+def test_one_index_shard_at_a_time(spark, monkeypatch):
+    rng = random.Random(17)
+    items = [(k, " ".join(f"w{rng.randrange(2000)}" for _ in range(30))) for k in range(24)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, f"{items[k][1]} {' '.join(f'w{rng.randrange(2000)}' for _ in range(50))} {items[-1 - k][1]}") for k in range(20)]
+    df = spark.createDataFrame(rows + rows[:3] + [(50, None), (51, "no item here")], "key long, text string")
+
+    def found():
+        out = decontam_bm25.find(df, "text", bench, "item_id", "text")
+        assert out.columns == ["key", "text", "hits"]
+        return out, sorted((r["key"], sorted(h["item_id"] for h in r["hits"])) for r in out.collect())
+    one = found()[1]
+    monkeypatch.setattr(decontam_bm25, "SHARD", 6)
+    out, several = found()
+    assert several == one and len(one) == 25 and sum(len(h) for _, h in one) >= 40
+    assert "lookup(" not in out._jdf.queryExecution().analyzed().toString()

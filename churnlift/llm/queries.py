@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, decontam_bm25, hash_tree, jaccard_tiles, license_zstd, pii_bootstrap, quality_crf,
-               substring_sketch, toxicity_counterfactual, wordpiece_counts)
-from .storage import prepare
+from . import (byte_bpe, conversation_repair, cube_mixture, decontam_bm25, hash_tree, jaccard_tiles, license_zstd,
+               pii_bootstrap, quality_crf, substring_sketch, toxicity_counterfactual, vector_codes, wordpiece_counts)
+from .storage import prepare, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -141,9 +141,85 @@ def op10_benchmark_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("h.question", 6).alias("question_overlap"), F.round("h.answer", 6).alias("answer_overlap")))
 
 
+def op11_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes and errors of every usable vector, errors per label, digest of the codebooks."""
+    prepare(spark, rows=10_000)
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"),
+                                         "vec_id", "embedding", parts=16, entries=64, rounds=2, scale=256)
+    hexes = F.transform("code", lambda i: F.lpad(F.lower(F.hex(i)), 2, "0"))
+    coded = written(coded.withColumn("code", F.array_join(hexes, "")), "vector-codes")
+    return (vector_codes.with_group_total(coded, "label", "error", "label_error")
+            .select("vec_id", "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256")))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations after the damage that op12 prescribes; ``copies`` is 0
+    for a dropped row and 2 for a repeated one."""
+    def plain(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    what = F.pmod(F.crc32(F.concat(plain("conv_id"), F.lit(":"), plain("turn")).cast("binary")), F.lit(20))
+    text = F.when(what == 1, "").when(what == 2, F.translate(plain("text"), ".!?", "")).otherwise(plain("text"))
+    return conversations.select("conv_id", "turn", F.when(what == 4, "user").otherwise(plain("role")).alias("role"),
+                                text.alias("text"), F.when(what == 0, 0).when(what == 3, 2).otherwise(1).alias("copies"))
+
+
+def op12_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired text of every damaged conversation."""
+    prepare(spark)
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    names = ("conv_id", "turn", "role", "text", "copies")
+    verdicts = conversation_repair.repair(rows, *names)
+    return conversation_repair.digests(rows, verdicts, *names)
+
+
+def op13_cube_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of one and a half times all words takes of every document."""
+    prepare(spark)
+    mixed = cube_mixture.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", (3, 1, 2), percent=150, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_crf, op2_byte_bpe, op3_ngram_jaccard, op4_pii_bootstrap, op5_wordpiece_counts, op6_toxicity,
-    op7_repeated_windows, op8_hash_tree, op9_license_zstd, op10_benchmark_bm25)}
+    op7_repeated_windows, op8_hash_tree, op9_license_zstd, op10_benchmark_bm25, op11_orchard_codes, op12_glr_repair,
+    op13_cube_mixture)}
+
+
+def _codes_sql() -> str:
+    """Every part against every entry, in place of the search."""
+    def assign(book: str) -> str:
+        return f"""
+  select vec_id, label, p, min_by(k, (d, k)) as k, min(d) as d from (
+    select q.vec_id, q.label, q.p, c.k, sum((q.x - c.x) * (q.x - c.x)) as d
+    from flat q join {book} c on q.p = c.p and q.j = c.j group by all) t group by all"""
+
+    def moved(book: str, assigned: str) -> str:
+        return f"""
+  select c.p, c.j, c.k, coalesce(m.x, c.x) as x from {book} c left join (
+    select f.p, f.j, a.k, cast(floor(sum(f.x)::hugeint::double / count(*)) as bigint) as x
+    from flat f join {assigned} a on a.vec_id = f.vec_id and a.p = f.p group by all) m
+  on m.p = c.p and m.j = c.j and m.k = c.k"""
+    return f"""
+with kept as (
+  select vec_id, label, embedding as e from embeddings where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+flat as (
+  select vec_id, label, i // (n // 16) as p, i % (n // 16) as j, cast(floor(256 * x::double) as bigint) as x from (
+    select vec_id, label, len(e) as n, unnest(e) as x, unnest(range(len(e))) as i from kept) t),
+seeds as (select vec_id, row_number() over (order by vec_id) - 1 as k from kept order by vec_id limit 64),
+b0 as (select f.p, f.j, s.k, f.x from flat f join seeds s on s.vec_id = f.vec_id),
+a0 as ({assign("b0")}),
+b1 as ({moved("b0", "a0")}),
+a1 as ({assign("b1")}),
+b2 as ({moved("b1", "a1")}),
+a2 as ({assign("b2")}),
+coded as (
+  select vec_id, label, string_agg(printf('%02x', k), '' order by p) as code, sum(d)::bigint as error from a2 group by all)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(x::varchar, ',' order by p, k, j)) from b2) as codebooks_sha256
+from coded"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": r"""
@@ -180,4 +256,5 @@ kept as (
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(kept.n, 0) as bigint) as n_removed,
   sha256(coalesce(kept.kept, '')) as kept_sha256
 from w left join kept on kept.doc_id = w.doc_id""",
+    "op11_orchard_codes": _codes_sql(),
 }

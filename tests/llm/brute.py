@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -142,3 +144,114 @@ def greedy_pieces(word, pieces, longest):
         else:
             return None
     return out
+
+
+# ---- vector codes ---------------------------------------------------------
+
+def codes(rows, parts=16, entries=64, rounds=2):
+    """[(id, vector or None, label)] -> {(id, code, error, label error)}, sha of the codebooks."""
+    kept = [(i, [math.floor(256 * x) for x in v], g) for i, v, g in rows
+            if v and all(x is not None and math.isfinite(x) for x in v)]
+    width = len(kept[0][1]) // parts
+    cut = [[v[p * width:(p + 1) * width] for p in range(parts)] for _, v, _ in kept]
+    smallest = {}
+    for i, v, _ in kept:
+        if i is not None:
+            smallest[i] = min(v, smallest.get(i, v))
+    seeds = [smallest[i] for i in sorted(smallest)[:entries]]
+    books = [[v[p * width:(p + 1) * width] for v in seeds] for p in range(parts)]
+
+    def nearest(part, book):
+        return min((sum((a - b) ** 2 for a, b in zip(part, e)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            members = {}
+            for v in cut:
+                members.setdefault(nearest(v[p], book)[1], []).append(v[p])
+            books[p] = [[sum(c) // len(members[k]) for c in zip(*members[k])] if k in members else e
+                        for k, e in enumerate(book)]
+    found = [[nearest(v[p], books[p]) for p in range(parts)] for v in cut]
+    errors = [sum(d for d, _ in f) for f in found]
+    totals = {}
+    for (_, _, g), e in zip(kept, errors):
+        totals[g] = totals.get(g, 0) + e
+    out = [(i, "".join(f"{k:02x}" for _, k in f), e, totals[g]) for (i, _, g), f, e in zip(kept, found, errors)]
+    return out, hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+
+
+# ---- conversation repair --------------------------------------------------
+
+ROLE_STEPS = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+
+
+def cheapest(rows):
+    """Least (cost, audit) over (initial, fault) rows, by a search over all edits in order of cost."""
+    heap, done = [(0, "", 0, "")], set()
+    while heap:
+        cost, audit, at, state = heapq.heappop(heap)
+        if (at, state) in done:
+            continue
+        done.add((at, state))
+        if at == len(rows) and state in ("", "a"):
+            return cost, audit
+        steps = [(5, "I", at, t) for t in "ua"]
+        if at < len(rows):
+            initial, fault = rows[at]
+            heapq.heappush(heap, (cost + 2, audit + "D", at + 1, state))
+            if fault != "gone":
+                more = 5 * (fault == "truncated")
+                steps += [(more, "K", at + 1, initial), *((more + 1, "R", at + 1, t) for t in "ua")]
+        for price, edit, to, terminal in steps:
+            if (state, terminal) in ROLE_STEPS:
+                heapq.heappush(heap, (cost + price, audit + edit, to, ROLE_STEPS[state, terminal]))
+
+
+def damage(conv, turn, role, text):
+    """The rows that one row becomes."""
+    space = " "
+    what = zlib.crc32(f"{space if conv is None else conv}:{space if turn is None else turn}".encode()) % 20
+    role, text = space if role is None else role, space if text is None else text
+    text = "" if what == 1 else re.sub("[.!?]", "", text) if what == 2 else text
+    return [(turn, "user" if what == 4 else role, text)] * {0: 0, 3: 2}.get(what, 1)
+
+
+def conversation(rows):
+    """(turn, role, text) rows in order -> the columns of the contract."""
+    turns = sorted({t for t, _, _ in rows if t is not None})
+    gaps = turns[-1] - turns[0] + 1 - len(turns) if turns else 0
+    seen, faults = set(), []
+    for _, role, text in rows:
+        said = text.strip(" \t\n\x0b\x0c\r")
+        faults.append("blank" if not said else "duplicate" if (role, text) in seen
+                      else "truncated" if said[-1] not in ".!?" else "")
+        seen.add((role, text))
+    illegal = sum(a[:1] + b[:1] not in ("su", "ua", "au") for (_, a, _), (_, b, _) in zip(rows, rows[1:]))
+    cost, audit = cheapest([(r[:1], "gone" if f in ("blank", "duplicate") else f) for (_, r, _), f in zip(rows, faults)])
+    state, left, out = "", iter(rows), []
+    for edit in audit:
+        _, role, text = (None, "", "") if edit == "I" else next(left)
+        if edit == "D":
+            continue
+        if edit != "K":
+            role = "user" if (state, "u") in ROLE_STEPS else "assistant"
+        state = ROLE_STEPS[state, role[:1]]
+        out.append(f"{role}:{text}")
+    digest = hashlib.sha256("\n".join(out).encode()).hexdigest()
+    return gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest
+
+
+# ---- mixture --------------------------------------------------------------
+
+def mix_targets(sizes, weights=(3, 1, 2), times=1.5, most=2):
+    """{source: size} -> {source: target}."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    capped = set()
+    while True:
+        rest = times * sum(sizes.values()) - sum(most * sizes[s] for s in capped)
+        free = sum(weight[s] for s in order if s not in capped)
+        above = {s for s in order if s not in capped and weight[s] * rest / free > most * sizes[s]}
+        if not above:
+            return {s: most * sizes[s] if s in capped else weight[s] * rest / free for s in order}
+        capped |= above

@@ -1,13 +1,19 @@
 """Outlier and uplift models: samples, sizes, stop rules, null scores."""
 
+import os
+import subprocess
+import sys
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from churnlift.functions.ranking import rank_by_hash, running_totals
+from churnlift.operators.features import Encoding, written_vectors
+from churnlift.operators.margin import gamma_scale, kernel_map
 from churnlift.operators.outliers import iforest, ocsvm
-from churnlift.operators.uplift import curves, learners
+from churnlift.operators.uplift import curves, learners, svm
 
 
 @pytest.fixture(scope="module")
@@ -15,14 +21,14 @@ def points(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1200, 3))
     x[:30] += 6
-    rows = [(i, [float(v) for v in r], int(r[0] + rng.normal() > 0), int(rng.integers(0, 2))) for i, r in enumerate(x)]
-    df = spark.createDataFrame(rows, "CUSTOMER_ID long, arr array<double>, y int, treatment int")
-    return df.withColumn("features", array_to_vector("arr")).cache()
+    rows = [(i, [float(v) for v in r], [3 + i % 4, -1], int(r[0] + rng.normal() > 0), int(rng.integers(0, 2))) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "CUSTOMER_ID long, nums array<double>, cats array<int>, y int, treatment int")
+    return written_vectors(df, 8).cache()
 
 
 @pytest.mark.parametrize("rows, want", [(1200, 256), (100, 100)])
 def test_every_tree_has_its_own_full_sample(points, rows, want):
-    df = points.where(F.col("CUSTOMER_ID") < rows).select("CUSTOMER_ID", F.col("arr").alias("features"))
+    df = points.where(F.col("CUSTOMER_ID") < rows)
     sizes = iforest.sample_rows(df).groupBy("tree").count().collect()
     assert len(sizes) == 100 and {r["count"] for r in sizes} == {want}
     roots = iforest.fit(df, trees=7).where("node = 0").collect()
@@ -30,63 +36,170 @@ def test_every_tree_has_its_own_full_sample(points, rows, want):
 
 
 def test_outliers_get_the_label(points):
-    df = points.select("CUSTOMER_ID", F.col("arr").alias("features"))
-    iso = iforest.iforest_labels(df, contamination=0.025)
+    iso = iforest.iforest_labels(points, contamination=0.025)
     assert iso.where("Churn_Label_IsoForest = 1 and CUSTOMER_ID < 30").count() >= 25
-    oc = ocsvm.ocsvm_labels(df, nu=0.05)
-    assert abs(oc.where("Churn_Label_OCSVM = 1").count() - 60) <= 6
-
-
-def test_stop_rule_leaves_little(points):
-    df = points.select("CUSTOMER_ID", F.col("arr").alias("features"))
-
-    def objective(**kw):
-        wr, br, w = ocsvm.fit(df, nu=0.05, components=50, **kw)
-        x = np.stack(df.toPandas()["features"].to_numpy())
-        slack = np.maximum(0, 1 - ocsvm.rff_map(x, wr, br) @ w)
-        return 0.5 * w @ w + slack.sum() / (0.05 * len(x))
-    assert objective() <= 1.05 * objective(max_iterations=150, tolerance=0.0)
-
-
-def test_reference_sizes_are_the_defaults(points):
-    zoo = learners.model_zoo()
-    two = zoo["TwoModels_XGB_vs_RF"]()
-    boosted = two.treated._make("y", 100)
-    assert (boosted.getMaxIter(), boosted.getStepSize(), boosted.getMaxDepth()) == (1000, 0.05, 6)
-    assert two.control._make("y", 100).getNumTrees() == 1000
-    ct = zoo["CT_XGB"]().estimator._make("y", 100)
-    assert (ct.getMaxIter(), ct.getStepSize(), ct.getMaxDepth()) == (100, 0.3, 6)
-    logistic = zoo["TwoModels_LOGREG_vs_SVM"]().treated._make("y", 50)
-    assert (logistic.getMaxIter(), logistic.getRegParam()) == (1000, 1 / 50)
+    assert iso.where("Churn_Label_IsoForest = 1").count() == 30
+    oc = ocsvm.ocsvm_labels(points, 8, nu=0.05)
+    assert oc.where("Churn_Label_OCSVM = 1").count() == 60
+
+
+def test_share_is_exact_where_scores_tie(spark):
+    same = spark.createDataFrame([(i, [1.0], [1]) for i in range(101)], "CUSTOMER_ID long, nums array<double>, cats array<int>")
+    for labelled, name in ((iforest.iforest_labels(same, trees=3), "Churn_Label_IsoForest"), (ocsvm.ocsvm_labels(same, 2), "Churn_Label_OCSVM")):
+        assert sorted(r.CUSTOMER_ID for r in labelled.where(F.col(name) == 1).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_rare_indicators_isolate(spark):
+    rows = [(i, [0.0], [5000 + i if i < 4 else 1 + i % 2, 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "CUSTOMER_ID long, nums array<double>, cats array<int>")
+    found = iforest.iforest_labels(df, trees=200, contamination=0.01)
+    assert sorted(r.CUSTOMER_ID for r in found.where("Churn_Label_IsoForest = 1").collect()) == [0, 1, 2, 3]
+
+
+def _one_class_objective(model, pdf, nu):
+    z = model.kernel.of(np.stack(pdf["nums"]), np.stack(pdf["cats"]))
+    m = np.sort(z @ model.w)
+    return 0.5 * model.w @ model.w - m[:int(nu * len(m))].mean()
+
+
+def test_one_class_gap_bounds_the_optimum(points):
+    pdf = points.select("nums", "cats").toPandas()
+    loose = ocsvm.fit(points, 8, 0.05, tolerance=0.05)
+    near = ocsvm.fit(points, 8, 0.05, tolerance=1e-4)
+    far = ocsvm.fit(points, 8, 0.05, tolerance=0.05, local_rows=0)
+    assert near.gap <= 1e-4 * max(abs(near.objective), 1e-3) and near.kernel.error <= 0.03
+    for model in (loose, near, far):
+        value = _one_class_objective(model, pdf, 0.05)
+        assert value <= model.objective + 1e-6
+        # the optimum lies between objective - gap and objective
+        assert model.objective - model.gap - 1e-9 <= near.objective <= model.objective + 1e-9
+
+
+def test_kernel_map_meets_its_bound(points):
+    wide, rough = (kernel_map(points, "CUSTOMER_ID", 8, bound) for bound in (0.02, 0.1))
+    assert rough.components < wide.components and wide.error <= 0.02 and rough.error <= 0.1
+    pdf = points.select("nums", "cats").limit(300).toPandas()
+    nums, cats = np.stack(pdf["nums"]), np.stack(pdf["cats"])
+    dense = np.hstack([nums, *[(cats == f).any(1)[:, None] for f in range(3, 8)]])
+    exact = np.exp(-wide.gamma * np.square(dense[:, None] - dense[None]).sum(-1))
+    z = wide.of(nums, cats)
+    assert np.sqrt(np.square(z @ z.T - exact).mean()) < 0.03
+    allcells = np.hstack([np.stack(points.select("nums").toPandas()["nums"]), np.repeat([[1 / 4] * 4 + [0]], 1200, 0)])
+    assert gamma_scale(points, 8) > 0 and allcells.shape == (1200, 8)
+
+
+def test_gamma_counts_the_zeros(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], [2, -1]), (2, [0.0, -1.0], [4, 3])], "id long, nums array<double>, cats array<int>")
+    dense = np.array([[1, 2, 1, 0, 0], [0, -1, 0, 1, 1.0]])
+    assert gamma_scale(df, 5) == pytest.approx(1 / (5 * dense.var()))
+
+
+@pytest.mark.parametrize("local_rows", [50_000, 0])
+def test_margins_are_calibrated(spark, local_rows):
+    """Probabilities of planted classes: what is said to happen with p happens with p."""
+    rng = np.random.default_rng(8)
+    n = 3000 if local_rows else 600
+    x = rng.normal(size=(n, 2))
+    p = 1 / (1 + np.exp(-2.5 * x[:, 0]))
+    rows = [(i, [float(v) for v in r], [], int(rng.random() < q)) for i, (r, q) in enumerate(zip(x, p))]
+    df = spark.createDataFrame(rows, "id long, nums array<double>, cats array<int>, y int").repartition(3).cache()
+    model = svm.KernelSvms(df, "id", 2, [svm.Problem("p", "y"), svm.Problem("odd", "CASE WHEN id % 2 = 1 THEN y END")],
+                           tolerance=0.05, error=0.06, local_rows=local_rows)
+    assert set(model.models) == {(i, f) for i in (0, 1) for f in range(-1, 5)}
+    assert all(m.gap <= 0.05 * max(abs(m.best), 1e-3) for m in model.models.values())
+    assert model.rows[0, -1] == n and sum(n - model.rows[0, f] for f in range(5)) == n
+    got = model.predict(df).toPandas().sort_values("id")["p"].to_numpy()
+    assert np.abs(got - p).mean() < (0.08 if local_rows else 0.12)
+    for low in (0.0, 0.25, 0.5, 0.75):
+        part = (got >= low) & (got < low + 0.25)
+        assert abs(got[part].mean() - p[part].mean()) < (0.07 if local_rows else 0.15)
+
+
+def test_reference_sizes_are_the_defaults():
+    cells = [("y", m) for m in learners.MODELS]
+    found = learners.classifiers(cells, "treatment")
+    assert learners.REFERENCE_SIZES == {"gbt": {"trees": 1000, "step": 0.05, "depth": 6}, "ct_gbt": {"trees": 100, "step": 0.3, "depth": 6},
+                                        "rf": {"trees": 1000}, "logreg": {"iters": 1000}}
+    assert [[(c.kind, c.size) for c in found[cell]] for cell in cells] == [
+        [("gbt", "gbt"), ("rf", "rf")], [("logreg", "logreg"), ("svm", None)], [("gbt", "ct_gbt")], [("rf", "rf")]]
 
 
 @pytest.mark.parametrize("key", ["uplift_two_models", "model_grid", "model_targets"])
 def test_registered_keys_fit_the_reference_sizes(monkeypatch, key):
-    from churnlift.plans import queries
+    from churnlift.plans import modelling, queries
     from churnlift.plans.catalog import REGISTRY
     seen = []
 
-    def zoo(sizes):
-        seen.append(sizes)
+    def fit(train, test, id_, t, size, cells, sizes):
+        seen.append((len(cells), sizes))
         raise InterruptedError
-    monkeypatch.setattr(learners, "model_zoo", zoo)
+    monkeypatch.setattr(learners, "fit_predict", fit)
     monkeypatch.setattr(queries, "_features", lambda *args: None)
-    monkeypatch.setattr(queries, "_model_input", lambda *args: None)
+    monkeypatch.setattr(modelling, "model_input", lambda *args, **kw: SimpleNamespace(train=None, test=None, size=0))
     with pytest.raises(InterruptedError):
         REGISTRY[key].fn(None, None)
-    assert seen == [learners.REFERENCE_SIZES]
+    assert seen == [(12 if key == "model_grid" else 1, learners.REFERENCE_SIZES)]
 
 
-@pytest.mark.parametrize("name", ["TwoModels_XGB_vs_RF", "TwoModels_LOGREG_vs_SVM", "CT_XGB"])
-def test_learners_follow_the_signal(points, name):
-    sizes = dict(learners.REFERENCE_SIZES, gbt=dict(trees=5, step=0.1, depth=3), ct_gbt=dict(trees=5, step=0.3, depth=3),
-                 rf=dict(trees=8, depth=4))
+def test_learners_follow_the_signal(points):
+    sizes = dict(learners.REFERENCE_SIZES, gbt=dict(trees=8, step=0.3, depth=3), ct_gbt=dict(trees=5, step=0.3, depth=3), rf=dict(trees=30))
     # treatment helps where the first feature is positive
-    df = points.withColumn("y", (F.col("arr")[0] * F.when(F.col("treatment") == 1, 1).otherwise(-1) > 0).cast("int"))
-    model = learners.model_zoo(sizes)[name]().fit(df, "y", "treatment")
-    got = model.predict(df).join(df.select("CUSTOMER_ID", F.col("arr")[0].alias("x")), "CUSTOMER_ID").toPandas()
-    assert len(got) == 1200 and got["Uplift_Score"].between(-1, 1).all()
-    assert got[got.x > 0.5]["Uplift_Score"].mean() > got[got.x < -0.5]["Uplift_Score"].mean() + 0.5
+    df = points.withColumn("y", (F.col("nums")[0] * F.when(F.col("treatment") == 1, 1).otherwise(-1) > 0).cast("int"))
+    got = learners.fit_predict(df, df, "CUSTOMER_ID", "treatment", 8, [("y", m) for m in learners.MODELS], sizes)
+    got = got.join(df.select("CUSTOMER_ID", F.col("nums")[0].alias("x")), "CUSTOMER_ID").toPandas()
+    for name, g in got.groupby("model"):
+        assert len(g) == 1200 and g["Uplift_Score"].between(-1, 1).all(), name
+        assert g[g.x > 0.5]["Uplift_Score"].mean() > g[g.x < -0.5]["Uplift_Score"].mean() + 0.5, name
+    assert set(got["model"]) == set(learners.MODELS) and set(got["label"]) == {"y"}
+    with pytest.raises(ValueError, match="both outcome classes"):
+        learners.fit_predict(df.withColumn("y", F.lit(1)), df, "CUSTOMER_ID", "treatment", 8, [("y", "TwoModels_XGB_vs_RF")], sizes)
+
+
+STORES = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import functions as F
+from churnlift.session import build_session
+from churnlift.operators import features
+from churnlift.operators.outliers import iforest
+spark = build_session(master="local[4]", shuffle_partitions=4)
+n = 120_000
+df = spark.range(n).select(F.col("id").alias("CUSTOMER_ID"), (F.col("id") % 100_000).alias("s"), F.rand(1).alias("x"))
+df = df.select("CUSTOMER_ID", "x", F.concat(F.lit("store-"), "s").alias("FAVOURITE_STORE"), F.lit("kind").alias("KIND"))
+e = features.Encoding(df, ["x"], ["FAVOURITE_STORE", "KIND"])
+assert e.size == 1 + 100_000 + 1
+rows = features.written_vectors(e.encode(df, "CUSTOMER_ID"), e.size)
+first = rows.where("CUSTOMER_ID = 7").first()
+assert first.features.size == e.size and list(first.features.indices) == [0, *first.cats]
+assert rows.select(F.count_distinct(F.col("cats")[0])).first()[0] == 100_000
+assert iforest.iforest_labels(rows, trees=5).where("Churn_Label_IsoForest = 1").count() == 6000
+print("DONE")
+"""
+
+
+def test_a_hundred_thousand_stores_fit_a_small_driver():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, SPARK_DRIVER_MEMORY="1g", BENCH_CPUS="4")
+    out = subprocess.run([sys.executable, "-c", STORES.format(root=root)], env=env, capture_output=True, text=True, timeout=600)
+    assert "DONE" in out.stdout, out.stderr[-3000:]
+
+
+def test_no_dense_encoding_in_the_model_plans():
+    import churnlift.operators.features as f
+    import churnlift.plans.modelling as m
+    for module in (f, m):
+        text = open(module.__file__).read()
+        assert "StringIndexer" not in text and "vector_to_array" not in text
+
+
+def test_unseen_levels_encode_as_none(spark):
+    schema = "CUSTOMER_ID long, x double, a string, FAVORITE_HOUR long"
+    df = spark.createDataFrame([(1, 1.0, "b", 10), (2, 3.0, "a", 9), (3, 2.0, None, 9)], schema)
+    e = Encoding(df, ["x"], ["a", "FAVORITE_HOUR"])
+    new = spark.createDataFrame([(4, 2.0, "zz", 10), (5, 2.0, "b", None)], schema)
+    got = {r.CUSTOMER_ID: (list(r.nums), list(r.cats)) for r in e.encode(df.unionByName(new), "CUSTOMER_ID").collect()}
+    assert e.size == 5 and got[4] == ([0.0], [-1, 4]) and got[5] == ([0.0], [2, -1])
+    assert got[1][1] == [2, 4] and got[2][1] == [1, 3] and got[3] == ([0.0], [-1, 3])
 
 
 def test_null_scores_rank_last(spark):

@@ -160,7 +160,7 @@ def overlap_bound(a: bytes, b: bytes, size_a: int, size_b: int) -> int:
     return min(size_a - int(np.bitwise_count(x & ~y).sum()), size_b - int(np.bitwise_count(y & ~x).sum()))
 
 
-SETS = "id long, text_key long, size int, cls long, check long, bitmap binary, tiles array<long>"
+SETS = "id string, text_key long, size int, cls long, check long, bitmap binary, tiles array<long>"
 
 
 def set_table(df: DataFrame, id_col: str, text: str, words: int, percent: int) -> DataFrame:
@@ -174,23 +174,33 @@ def set_table(df: DataFrame, id_col: str, text: str, words: int, percent: int) -
             if len(seen) > SEEN_CLASSES:
                 seen.clear()
             for i, key, t in zip(batch["id"], batch["text_key"], batch["text"]):
-                i = None if pd.isna(i) else int(i)
                 arr = shingles(hashes.of(utf8(t).translate(LOWER).split()), words)
                 if not len(arr):
                     out.append((i, key, 0, None, None, None, None))
                     continue
                 both = xxhash.xxh3_128_intdigest(arr.tobytes())
                 cls, check = np.array([both >> 64, both & (1 << 64) - 1], _U).view(np.int64)
-                new = cls not in seen
-                seen.add(cls)
+                new = both not in seen
+                seen.add(both)
                 out.append((i, key, len(arr), int(cls), int(check), bitmap(arr) if new else None,
                             tiles(arr, percent) if new else None))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in SETS.split(", ")], dtype=object)
             yield frame
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_key"),
+    # ids cross Python as text: a null among them would turn numbers into doubles
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(text)).alias("text_key"),
                      F.col(text).alias("text"))
-    return rows.mapInPandas(build, SETS)
+    return rows.mapInPandas(build, SETS).withColumn("id", F.col("id").cast(df.schema[id_col].dataType))
+
+
+def one_class_each(sets: DataFrame) -> DataFrame:
+    """``sets`` with a class of its own for every set: where different sets
+    share the first 64 bits of their digest, all but one are renamed by both
+    halves.  Few are (n*n / 2**65 of n sets), so the join broadcasts their list."""
+    shared = sets.where("cls is not null").groupBy("cls").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    shared = written(shared.where("low != high").select("cls", "low"), "shared-classes")
+    own = F.when(F.col("check") != F.col("low"), F.xxhash64("cls", "check")).otherwise(F.col("cls"))
+    return sets.join(shared, "cls", "left").withColumn("cls", own).drop("low", "check")
 
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -206,7 +216,7 @@ class _Verifier:
     """Exact check of class pairs: bitmaps first, then the arrays."""
 
     def __init__(self, df, id_col, text, words, percent, classes):
-        self.rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_key"),
+        self.rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("text_key"),
                               F.col(text).alias("text"))
         self.words, self.percent, self.classes = words, percent, classes
 
@@ -325,7 +335,7 @@ def _blocks(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _grouped(df: DataFrame, id_col: str, text: str, words: int, percent: int) -> DataFrame:
     """(id, text_key, size, root) of every row; ``root`` names the component
     (null without words)."""
-    sets = written(set_table(df, id_col, text, words, percent), "sets")
+    sets = one_class_each(written(set_table(df, id_col, text, words, percent), "sets"))
     same = Window.partitionBy("tile")
     # a tile is renamed after its members: equal tiles merge, and a chance merge only adds comparisons
     met = (sets.where("tiles is not null").select(F.explode("tiles").alias("tile"), "cls")
@@ -333,13 +343,10 @@ def _grouped(df: DataFrame, id_col: str, text: str, words: int, percent: int) ->
            .withColumn("all", F.bit_xor(F.xxhash64("cls")).over(same))
            .select(F.xxhash64("all", "low", "high").alias("tile"), "cls").distinct())
     met = written(met, "tiles")
-    one = F.when(F.col("c") == F.col("d"), F.col("bitmap")).otherwise(
-        F.raise_error(F.lit("two sets share a 64-bit class id")).cast("binary"))
     classes = written(
         sets.join(met.select("cls").distinct(), "cls").groupBy("cls")
-        .agg(F.min(F.struct("id", "text_key")).alias("rep"), F.first("size").alias("size"),
-             F.max("bitmap").alias("bitmap"), F.min("check").alias("c"), F.max("check").alias("d"))
-        .select("cls", "rep.id", "rep.text_key", "size", one.alias("bitmap")), "classes")
+        .agg(F.min(F.struct("id", "text_key")).alias("rep"), F.first("size").alias("size"), F.max("bitmap").alias("bitmap"))
+        .select("cls", "rep.id", "rep.text_key", "size", "bitmap"), "classes")
     verifier = _Verifier(df, id_col, text, words, percent, classes)
     score = met.withColumn("n", F.count(F.lit(1)).over(same)).groupBy("cls").agg(F.sum("n").alias("score"))
     best_first = same.orderBy(F.desc("score"), "cls")
@@ -390,7 +397,7 @@ def keep_one(df: DataFrame, id_col: str, text: str, words: int = 5, percent: int
 
     def matched(part: DataFrame, how: str) -> DataFrame:
         small = part.count() <= BROADCAST_ROWS
-        same = df[id_col].cast("long").eqNullSafe(part["drop_id"]) & (F.xxhash64(df[text]) == part["drop_key"])
+        same = df[id_col].eqNullSafe(part["drop_id"]) & (F.xxhash64(df[text]) == part["drop_key"])
         return df.join(F.broadcast(part) if small else part, same, how)
 
     # rows that stay but stand there repeatedly are cut to one

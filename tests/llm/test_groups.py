@@ -178,3 +178,25 @@ def test_queries_return_their_columns(spark):
         for start, columns in want.items():
             if name.startswith(start):
                 assert columns <= set(query(spark, src).columns)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ids_stay_whole_beside_a_null(spark, kind):
+    """Ids over 2**53 and text ids, with a null in the same batch."""
+    base = " ".join(f"w{i}" for i in range(60))
+    big = [9007199254740993, 9007199254740995, 9007199254740996]
+    ids = big if kind == "long" else [f"id-{i}" for i in big]
+    rows = [(None, "no id here at all"), (ids[0], base), (ids[1], base), (ids[2], base + " end"), (None, base + " tail")]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").coalesce(1)
+    out = jaccard_tiles.join(df, "doc_id", "text", 3, 90)
+    assert listed(out, "id", "component") == sorted([(None, None), (ids[0], ids[0]), (ids[1], ids[0]), (ids[2], ids[0]),
+                                                     (None, ids[0])], key=repr)
+    kept = jaccard_tiles.keep_one(df, "doc_id", "text", 3, 90)
+    assert listed(kept, "doc_id") == sorted([(None,), (ids[0],)], key=repr)
+
+
+def test_sets_that_share_half_a_digest_get_classes_of_their_own(spark):
+    sets = spark.createDataFrame([("a", 5, 1), ("b", 5, 2), ("c", 5, 1), ("d", 6, 9), ("e", None, None)],
+                                 "id string, cls long, check long")
+    cls = {r["id"]: r["cls"] for r in jaccard_tiles.one_class_each(sets).collect()}
+    assert cls["a"] == cls["c"] == 5 != cls["b"] and cls["d"] == 6 and cls["e"] is None

@@ -4,6 +4,8 @@ import random
 
 import brute
 import public_tokenizers
+import pytest
+import regex
 from corpus import listed
 
 from churnlift.llm import (byte_bpe, decontam_bm25, license_zstd, pii_bootstrap, quality_crf, toxicity_counterfactual,
@@ -84,20 +86,49 @@ def test_bpe_round_trip(docs, rows, no_docs):
     assert byte_bpe.encode(no_docs, "text", VOCABULARY, public_tokenizers.PATTERN, "token_ids").count() == 0
 
 
-def test_stitched_pieces_are_encoded_alike(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CHUNK", 40)
-    monkeypatch.setattr(byte_bpe, "OVERLAP", 12)
+def test_stitched_pieces_are_encoded_alike():
     rng = random.Random(11)
     parts = ["a", "word", " ", "  ", "\n\n", "'re", "'", "12", "!?", "é", "日本", " ", "\t", "’s", "x" * 50, "." * 45, " " * 44]
     for _ in range(400):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(10, 80)))
         chunks = [text[i:i + 52] for i in range(0, len(text), 40)]
-        starts = byte_bpe.stitch([byte_bpe.chunk_view(c, public_tokenizers.PATTERN, len(c) <= 40) for c in chunks])
+        starts = byte_bpe.stitch([byte_bpe.chunk_view(c, public_tokenizers.PATTERN, len(c) <= 40, 40, 12) for c in chunks], 40)
         cuts = [i * 40 + s for i, s in enumerate(starts) if s >= 0] + [len(text)]
         ids = [x for a, b in zip(cuts, cuts[1:]) for x in reference_ids(text[a:b])]
         assert ids == reference_ids(text), text
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "7", "a", "\u3000", "-"])
+def test_runs_of_a_million_are_encoded(spark, run):
+    tail = " tail's 12\n"
+    df = spark.createDataFrame([(1, run * 10 ** 6 + tail), (2, "head" + run * 10 ** 6)], "i long, text string")
+    out = byte_bpe.decode(byte_bpe.encode(df, "text", VOCABULARY, public_tokenizers.PATTERN, "t"), "t", VOCABULARY, "b")
+    got = {r.i: (r.text.encode() == bytes(r.b), list(r.t)) for r in out.collect()}
+    assert got[1][0] and got[2][0]
+    enc = byte_bpe.encoder(VOCABULARY, public_tokenizers.PATTERN)
+    want = [i for piece in regex.findall(public_tokenizers.PATTERN, run * 10 ** 6 + tail) for i in enc._encode_single_piece(piece)]
+    assert got[1][1] == want
+
+
+def test_own_matching_is_the_librarys():
+    rng = random.Random(12)
+    enc = byte_bpe.encoder(VOCABULARY, public_tokenizers.PATTERN)
+    for run in (" ", "\n", "a", "9", "."):
+        text = "".join(rng.choice(["w", " ", "\n", "1", "!", "é", "'s"]) for _ in range(500))
+        text += run * (byte_bpe.LONG_RUN + 7) + text
+        assert byte_bpe.piece_ids(enc, public_tokenizers.PATTERN, text).tolist() == enc.encode_ordinary(text)
+
+
+def test_small_chunks_encode_the_whole_table_alike(spark, monkeypatch):
+    """Every text over 400 characters goes through the chunks."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    plain = byte_bpe.encode(docs, "text", VOCABULARY, public_tokenizers.PATTERN, "ids")
+    want = {r.doc_id: list(r.ids) for r in plain.collect()}
+    out = byte_bpe.encode(docs, "text", VOCABULARY, public_tokenizers.PATTERN, "ids", chunk=400, overlap=64)
+    assert {r.doc_id: list(r.ids) for r in out.collect()} == want
+    assert docs.where("char_length(text) > 400").count() > 500
+
+
 # ---- personal data -------------------------------------------------------
 
 def test_base_spans_by_brute_force():

@@ -12,6 +12,8 @@ import xxhash
 
 #: Entries of the per-process word-hash cache before it is emptied.
 CACHE_WORDS = 200_000
+#: Bytes of the longest word that a cache keeps.
+CACHED_BYTES = 64
 
 _U = np.uint64
 
@@ -25,9 +27,11 @@ class WordHashes(dict):
     """64-bit hash of a word, kept for words met again (bounded)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import fresh
-from .text import CACHE_WORDS, utf8
+from .text import CACHED_BYTES, CACHE_WORDS, utf8
 
 
 def load_pieces(path: str) -> list[bytes]:
@@ -94,9 +94,11 @@ class _Counts(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        n = self[word] = self.automaton.count(b" " + word)
+        n = self.automaton.count(b" " + word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
 

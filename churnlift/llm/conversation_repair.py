@@ -163,8 +163,8 @@ VERDICT = ", ".join(["conv {conv}", *[f"{c} long" for c in COUNTS], "audit strin
 class _Parse:
     """Rows in order -> verdicts of whole conversations and pieces of the others."""
 
-    def __init__(self, schema: pa.Schema):
-        self.schema = schema
+    def __init__(self, schema: pa.Schema, segment: int):
+        self.schema, self.segment = schema, segment
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops = tuple(repairs().stacks)
@@ -177,7 +177,7 @@ class _Parse:
                 elif conv != piece.conv:
                     out.append(self._ended(piece, partial))
                     piece, partial = _Piece(conv, tops), False
-                elif piece.rows >= SEGMENT:
+                elif piece.rows >= self.segment:
                     partial = True
                     out.append(self._ended(piece, partial))
                     piece = _Piece(conv, tops)
@@ -218,7 +218,8 @@ def _join(pieces: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([whole.verdict()])
 
 
-def repair(df: DataFrame, conv: str, turn: str, role: str, text: str, copies: str | None = None) -> DataFrame:
+def repair(df: DataFrame, conv: str, turn: str, role: str, text: str, copies: str | None = None,
+           segment: int = SEGMENT) -> DataFrame:
     """One row a conversation: (conv, gaps, blank, duplicate, truncated, illegal,
     cost, audit).  ``copies`` says how often a row counts (default once; 0 keeps
     the id only)."""
@@ -227,7 +228,7 @@ def repair(df: DataFrame, conv: str, turn: str, role: str, text: str, copies: st
     dealt = rows.repartitionByRange("conv", "turn", "digest").sortWithinPartitions("conv", "turn", "digest")
     verdict = VERDICT.format(conv=kind)
     schema = f"{verdict}, {STATE}"
-    parsed = written(dealt.mapInArrow(_Parse(to_arrow_schema(T._parse_datatype_string(schema))), schema), "conversation-pieces")
+    parsed = written(dealt.mapInArrow(_Parse(to_arrow_schema(T._parse_datatype_string(schema)), segment), schema), "conversation-pieces")
     pieces = parsed.where("piece is not null")
     joined = pieces.groupBy("conv").applyInPandas(_join, verdict)
     return parsed.where("piece is null").drop("piece").unionByName(joined).withColumnRenamed("conv", conv)

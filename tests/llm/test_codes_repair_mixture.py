@@ -104,8 +104,7 @@ def talks():
 
 
 @pytest.mark.parametrize("segment", [4096, 7])
-def test_conversations_by_brute_force(spark, monkeypatch, segment):
-    monkeypatch.setattr(conversation_repair, "SEGMENT", segment)
+def test_conversations_by_brute_force(spark, segment):
     want = {}
     for conv, turn, role, text in talks():
         want.setdefault(conv, []).extend(brute.damage(conv, turn, role, text))
@@ -114,7 +113,7 @@ def test_conversations_by_brute_force(spark, monkeypatch, segment):
                                "conv_id long, turn long, role string, text string, conv string, line int").repartition(5)
     rows = queries.damaged(df)
     names = ("conv_id", "turn", "role", "text", "copies")
-    verdicts = conversation_repair.repair(rows, *names)
+    verdicts = conversation_repair.repair(rows, *names, segment=segment)
     out = conversation_repair.digests(rows, verdicts, *names)
     got = listed(out, "conv_id", *conversation_repair.COUNTS, "audit", "repaired_sha256")
     assert got == sorted(want, key=repr)
@@ -152,6 +151,20 @@ def test_flight_keeps_the_totals():
         assert np.dot(p, size) == pytest.approx(np.dot(start, size)) and sum(p) == pytest.approx(start.sum())
 
 
+def test_large_documents_are_made_up_for():
+    import pyarrow as pa
+    drawn = []
+    for seed in range(2000):
+        table = pa.table({"rank": [1, 1], "size": [500, 300], "mark": [5, 6], "block": [0, 0], "n": [1, 2], "p": [0.4, 0.4], "source_size": [5000] * 2})
+        out = cube_mixture._settle_first(table, seed).to_pylist()
+        left = out.pop()
+        assert left["n"] == 0 and sum(r["n"] for r in out) == 3
+        words = sum(r["size"] * r["n"] * r["extra"] for r in out)
+        assert words + left["p"] * (5000 - 1100) == pytest.approx(2000)
+        drawn.append(left["p"])
+    assert np.mean(drawn) == pytest.approx(0.4, abs=0.005)
+
+
 def test_draws_keep_the_probabilities():
     size = [3, 50, 7, 7, 90, 12, 31, 60, 5, 44, 23, 17]
     drawn = np.zeros(len(size))

@@ -10,13 +10,17 @@ Which documents are taken once more is drawn by the cube method.  The vector
 of inclusion probabilities starts at (p, p, ..., p).  A step moves three of
 its undecided components along the null space of the balance equations (sum of
 words, number of documents) until one of them is 0 or 1, up or down with the
-odds that keep each probability's expectation.  (Documents far larger than the
-others are settled before, by steps in which all smaller ones make up for
-them.)  Words and documents of the source so keep their totals, up to rounding,
+odds that keep each probability's expectation.  Words and documents of the source so keep their totals, up to rounding,
 until ``LANDING`` documents are undecided: the landing problem, settled by
 trying every subset for the one whose words (then documents) come nearest to
 the totals.  The draw of those few is no longer random.
 
+Large documents are settled before, while many others can make up for them:
+first those above 1 / ``FIRST`` of their source (fewer than ``FIRST`` a
+source), one after the other, each followed by the same change of all
+probabilities that are left; then the ``LARGE`` largest of a chunk, by steps
+that move all smaller ones a little.
+
 **Scale.**  The documents of a source are dealt into chunks of about ``CHUNK``
 by hash, and each chunk makes its steps by itself; it hands on at most two
 undecided documents with the probabilities reached.  These are dealt into
@@ -50,7 +54,8 @@ CHUNK = 4096
 BLOCK = 256
 #: Documents of a source that the landing settles; all their subsets are tried.
 LANDING = 10
-#: Documents of a chunk, the largest, that are settled first.
+#: Documents of more than 1 / FIRST of their source's words are settled first, then the LARGE largest of a chunk.
+FIRST = 100
 LARGE = 64
 #: A probability this close to 0 or 1 is 0 or 1.
 CLOSE = 1e-9
@@ -166,6 +171,35 @@ def landing(size: list[int], p: list[float], left: list[int], words: float, docu
         p[j] = float(x)
 
 
+def _settle_first(table: pa.Table, seed: int) -> pa.Table:
+    """The largest documents of one source (units as in ``_draw``) with ``extra``,
+    and a row without copies that holds the probability of the others."""
+    table = table.sort_by([("size", "descending"), ("mark", "ascending"), ("block", "ascending")])
+    rank, words = table.column("rank")[0].as_py(), table.column("source_size")[0].as_py()
+    target = table.column("p")[0].as_py() * words
+    rng = np.random.default_rng([seed, rank])
+    drawn = []
+    for size, copies in zip(table.column("size").to_pylist(), table.column("n").to_pylist()):
+        taken = 0
+        for _ in range(copies):
+            words -= size
+            x = int(rng.random() * (words + size) < target)
+
+            def off(x):  # by how much the others could not make up for it
+                return max(0.0, x * size - target, target - x * size - words)
+            if off(x) > off(1 - x):
+                x = 1 - x
+            taken += x
+            target -= x * size
+        drawn.append((taken, copies - taken))
+    at, n, extra = zip(*[(i, n, x) for i, pair in enumerate(drawn) for x, n in zip((1, 0), pair) if n], (0, 0, 0))
+    out = table.take(pa.array(at))
+    left = min(max(target / words, 0.0), 1.0) if words > 0 else 0.0
+    for name, values in (("n", n), ("p", [left] * len(n))):
+        out = out.set_column(out.schema.get_field_index(name), name, pa.array(values))
+    return out.append_column("extra", pa.array(extra, pa.int64()))
+
+
 def _drawer(seed: int, level: int):
     return lambda chunk: _draw(chunk, seed, level)
 
@@ -212,11 +246,18 @@ def mix(df: DataFrame, id: str, text: str, source: str, weights: tuple[int, ...]
     rows = (rows.withColumn("block", F.explode(blocks))
             .withColumn("n", F.when(F.col("block") < whole, F.lit(BLOCK).cast("long")).otherwise(rest)).where("n > 0")
             .withColumn("mark", F.xxhash64("id", "size", "block")))
-    settled = rows.where(F.col("p") <= CLOSE).withColumn("extra", F.lit(0).cast("long")).drop("chunks")
-    drawn = [settled]
+    is_large = (F.col("p") > CLOSE) & (F.col("size") * FIRST > F.col("source_size"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", extra long"
+    large = written(rows.where(is_large).groupBy("rank").applyInArrow(lambda t: _settle_first(t, seed), schema), "mix-large")
+    others = large.where("n = 0").select(F.col("rank").alias("of_rank"), F.col("p").alias("left"))  # a row a source
+    rows = (rows.where(~is_large).join(others, F.col("rank") == F.col("of_rank"), "left")
+            .withColumn("p", F.coalesce("left", "p")).drop("of_rank", "left"))
+    all_same = (F.col("p") <= CLOSE) | (F.col("p") >= 1 - CLOSE)
+    settled = rows.where(all_same).withColumn("extra", F.rint("p").cast("long")).drop("chunks")
+    drawn = [settled, large.where("n > 0").drop("chunks")]
     # the number of chunks of the largest source tells how many levels there are
     chunks = int(goals.agg(F.max("chunks")).first()[0] or 0)
-    open_ = rows.where(F.col("p") > CLOSE)
+    open_ = rows.where(~all_same)
     level = 0
     while chunks:
         dealt = open_.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + level), "mark"), F.col("chunks")))

@@ -183,10 +183,12 @@ def _move(kept: DataFrame, vector: str, books: Codebooks) -> Codebooks:
 
 def fit(kept: DataFrame, id: str, vector: str, parts: int = 16, entries: int = 64, rounds: int = 2) -> Codebooks:
     """Codebooks trained on every row of ``kept`` (integer vectors of one length)."""
-    seeds = (kept.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(vector).alias("v"))
-             .orderBy("id").limit(entries).collect())
-    if not seeds:
+    # the ids first, so that only vectors of the smallest ids are grouped
+    smallest = [r[0] for r in kept.select(id).where(F.col(id).isNotNull()).distinct().orderBy(id).limit(entries).collect()]
+    if not smallest:
         return Codebooks(np.zeros((parts, 0, 0), np.int64))
+    seeds = (kept.where(F.col(id).isin(smallest)).groupBy(F.col(id).alias("id")).agg(F.min(vector).alias("v"))
+             .orderBy("id").collect())
     length = len(seeds[0]["v"])
     if length % parts:
         raise ValueError(f"vectors of {length} components cannot be cut into {parts} equal parts")
@@ -232,7 +234,7 @@ def compress(vectors: DataFrame, id: str, vector: str, parts: int = 16, entries:
              scale: int = 256) -> tuple[DataFrame, Codebooks]:
     """Codes of all usable rows (columns of ``vectors``, ``code`` and ``error``
     in place of ``vector``) and the codebooks.  ``vectors`` is read once for the
-    lengths, the seeds, each round and the codes."""
+    lengths, the ids, the seeds, each round and the codes."""
     kept = one_length(whole_numbers(vectors, vector, scale), vector)
     books = fit(kept, id, vector, parts, entries, rounds)
     return encode(kept, vector, books), books

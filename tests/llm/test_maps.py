@@ -263,21 +263,74 @@ def test_every_license_of_a_block_is_confirmed():
     assert n_blocks == 1 and sorted((h[0], h[3]) for h in hits) == sorted((n, 0) for n in names)
 
 
-def test_license_places_by_brute_force():
+def license_places(scanner, words):
+    """(template, differences, start, end) that the windows lead to, and all there are."""
+    found = {(i, n, start + a, start + b) for i, start, end in scanner.winners(words)
+             for n, a, b in license_zstd.differences(scanner.words[i], words[start:end])[1]}
+    return found, {(i, *place) for i, t in enumerate(scanner.words) for place in license_zstd.differences(t, words)[1]}
+
+
+def planted(rng, template, edits):
+    words = list(template)
+    for _ in range(edits):
+        at = rng.randrange(len(words))
+        words[at:at + rng.randrange(2)] = rng.choice([["license"], ["other"], []])
+    return words
+
+
+def test_license_recall_on_planted_notices():
     rng = random.Random(15)
     scanner = license_zstd.Scanner(license_zstd.TEMPLATES)
-    for name, template in zip(scanner.names * 4, scanner.words * 4):
-        words = list(template)
-        for _ in range(rng.randrange(license_zstd.allowed(template) + 2)):
-            at = rng.randrange(len(words))
-            words[at:at + rng.randrange(2)] = rng.choice([["license"], ["other"], []])
+    met = total = 0
+    for template in scanner.words * 6:
         text = [f"w{rng.randrange(300)}" for _ in range(90)]
-        text[20:20] = words
-        pieces = scanner.pieces(text)
-        for i, t in enumerate(scanner.words):
-            want = license_zstd.differences(t, text)[1]
-            got = [(n, s + a, s + b) for k, s, e in pieces if k == i for n, a, b in license_zstd.differences(t, text[s:e])[1]]
-            assert got == want
+        at = rng.randrange(90)
+        text[at:at] = planted(rng, template, rng.randrange(license_zstd.allowed(template) + 1))
+        found, want = license_places(scanner, text)
+        met, total = met + len(found & want), total + len(want)
+        # what a window shows of a place that it cuts lies inside the place
+        assert all(any(i == k and s < b and a < e for k, _, a, b in want) for i, _, s, e in found - want)
+    assert total > 130 and met >= 0.98 * total
+
+
+def test_license_recall_in_a_long_block():
+    rng = random.Random(17)
+    scanner = license_zstd.Scanner(license_zstd.TEMPLATES)
+    words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    words[::50] = [rng.choice(["license", "permission"]) for _ in words[::50]]
+    for k, template in enumerate(scanner.words):
+        words[k * 800 + 300:k * 800 + 300] = planted(rng, template, license_zstd.allowed(template))
+    found, want = license_places(scanner, words)
+    assert len({i for i, *_ in want}) >= 15 and len(found & want) >= 0.98 * len(want)
+
+
+def test_license_recall_on_real_texts(spark):
+    scanner = license_zstd.Scanner(license_zstd.TEMPLATES)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    met = total = 0
+    for t in texts:
+        for a, b in license_zstd.blocks(t, scanner.around):
+            found, want = license_places(scanner, license_zstd.words_of(t[a:b]))
+            met, total = met + len(found & want), total + len(want)
+    assert total > 10 and met >= 0.98 * total
+
+
+def test_license_savings_decide(monkeypatch):
+    text = "x " * 50 + license_zstd.TEMPLATES["MIT-text"] + " y" * 50 + " " + license_zstd.TEMPLATES["Apache-2.0-header"]
+    scanner = license_zstd.Scanner(license_zstd.TEMPLATES)
+    # a notice that contains another saves more bytes and stays
+    assert [(h[0], h[3]) for h in scanner.text(text)[1]] == [("MIT-text", 0), ("Apache-2.0-header", 0)]
+    monkeypatch.setattr(scanner, "saving", lambda i, words, alone: 0)
+    assert scanner.text(text)[1] == []
+
+
+def test_license_windows_hold_every_place():
+    scanner = license_zstd.Scanner(license_zstd.TEMPLATES)
+    for length in (1, 5, 7, 40, 186):
+        longest = length + int(license_zstd.MAX_DIFFERENCE * length)
+        for n in (0, 1, 5, 17, 63, 500):
+            windows = list(scanner.windows(length, n))
+            assert all(any(a <= s and min(s + longest, n) <= b for a, b in windows) for s in range(max(n - longest, 0) + 1)), (length, n)
 
 
 def test_word_differences_by_brute_force():

@@ -34,11 +34,6 @@ def not_in_keep_null(c, values) -> Column:
     return ~F.coalesce(col(c).isin(list(values)), F.lit(False))
 
 
-def sum0(c) -> Column:
-    """Pandas ``sum`` of an all-NULL group is 0."""
-    return F.coalesce(F.sum(col(c)), F.lit(0))
-
-
 def count_unique_with_null(c) -> Column:
     """``unique().shape[0]`` counts NULL as one more value."""
     return F.count_distinct(col(c)) + F.max(col(c).isNull().cast("int")).cast("bigint")
@@ -59,11 +54,6 @@ def flag(pred: Column) -> Column:
     return F.coalesce(pred, F.lit(False))
 
 
-def plus_zero(c) -> Column:
-    """Turn IEEE -0.0 into 0.0 so both engines print and hash the same value."""
-    return col(c) + F.lit(0.0)
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Pandas ``merge`` matches a NULL key with a NULL key.  ``<=>`` still
     plans as an equi-join (hash/sort-merge on the key), so it scales like ``=``."""

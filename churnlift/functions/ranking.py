@@ -5,9 +5,9 @@ such as the treatment arm) puts all rows of the frame in one task.  Both
 helpers here work in two levels instead:
 
 1. rows get a *bucket* that respects the sort order — a hash prefix when
-   the order key is a uniform hash, approximate quantile ranges of the
-   key otherwise — and per-bucket totals form a small table whose size is
-   bounded by the bucket count;
+   the order key is a uniform hash, a sampled range of the key otherwise
+   (written once, so that it does not move) — and per-bucket totals form a
+   small table whose size is bounded by the bucket count;
 2. exclusive offsets are computed on that small table, joined back, and
    the remaining window runs inside each bucket only.
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,44 +79,27 @@ def rank_in_order(df: DataFrame, order: list[str], out: str = "rank") -> DataFra
     return dealt.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_off") + local).drop("_range", "_off")
 
 
-def quantile_buckets(df: DataFrame, col: str, num_buckets: int = 256, rel_err: float = 1e-3,
-                     out: str = "_bucket") -> DataFrame:
-    """Bucket rows by approximate quantile ranges of numeric ``col``: a
-    distributed sketch returns ``num_buckets - 1`` cut points (a bounded
-    list), a JVM binary search assigns buckets.  NULL keys -> bucket NULL."""
-    probs = [i / num_buckets for i in range(1, num_buckets)]
-    cuts = df.approxQuantile(col, probs, rel_err) if num_buckets > 1 else []
-    splits = [float("-inf")] + sorted({c for c in cuts if c is not None}) + [float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(out, F.when(F.col(col).isNotNull(), F.lit(0.0)))
-    tmp = "_qb_in"
-    bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return bz.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
-
-
 def running_totals(df: DataFrame, order_col: str, value_cols: list[str], descending: bool = True,
                    num_buckets: int | None = None, prefix: str = "cum_", partition_cols=()) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_col`` order, per
     ``partition_cols`` group (a few strata, e.g. treatment arms).
     ``order_col`` must be unique within a group (aggregate ties first) and not
-    NULL.  The buckets follow from the row count (pass a written ``df``: it is
-    read three times); up to ``ROWS_PER_BUCKET`` rows need none."""
+    NULL.  Rows are dealt into ranges and written; each range is summed by itself
+    and moved by the totals of the ranges before it.  The ranges follow from the
+    row count (pass a written ``df``); up to ``ROWS_PER_BUCKET`` rows need none."""
     parts = list(partition_cols)
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    upto = (Window.unboundedPreceding, Window.currentRow)
     num_buckets = bucket_count(df.count()) if num_buckets is None else num_buckets
     if num_buckets == 1:
-        order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-        w = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w = Window.partitionBy(*parts).orderBy(order).rowsBetween(*upto)
         return df.withColumns({f"{prefix}{v}": F.sum(v).over(w) for v in value_cols})
-    b = quantile_buckets(df, order_col, num_buckets)
-    tot = b.groupBy(*parts, "_bucket").agg(*[F.sum(v).alias(v) for v in value_cols])
-    border = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    # at most num_buckets rows per group in this window: bounded by construction
-    wb = Window.partitionBy(*parts).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*parts, "_bucket",
-                     *[F.coalesce(F.sum(v).over(wb), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
-    j = b.join(F.broadcast(off), on=[*parts, "_bucket"])
-    oorder = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy(*parts, "_bucket").orderBy(oorder).rowsBetween(Window.unboundedPreceding,
-                                                                           Window.currentRow)
-    return j.withColumns({f"{prefix}{v}": F.col(f"_off_{v}") + F.sum(v).over(w) for v in value_cols}) \
-            .drop("_bucket", *[f"_off_{v}" for v in value_cols])
+    dealt = materialize(df.repartitionByRange(num_buckets, order).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy(*parts, "_range").agg(*[F.sum(v).alias(v) for v in value_cols])
+    # a row a range and group
+    before = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*parts, "_range", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
+    local = Window.partitionBy(*parts, "_range").orderBy(order).rowsBetween(*upto)
+    return (dealt.join(F.broadcast(offsets), on=[*parts, "_range"])
+            .withColumns({f"{prefix}{v}": F.col(f"_off_{v}") + F.sum(v).over(local) for v in value_cols})
+            .drop("_range", *[f"_off_{v}" for v in value_cols]))

@@ -78,7 +78,3 @@ def discount_tier(c, tiers=DISCOUNT_TIERS, default=DEFAULT_DISCOUNT) -> Column:
         expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
     return expr.otherwise(F.lit(default))
 
-
-def round_half_even(c, places: int = 2) -> Column:
-    """Python ``round`` is half-even."""
-    return F.bround(col(c), places)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.modes import attribute_values, mode_of, padded, value_counts_by_key
-from ..functions.nulls import exact_avg, share_where
+from ..functions.exact import exact_double_avg
+from ..functions.nulls import share_where
 from ..functions.scalar import hour_of_text_time, weekday_name
 from .clean import operations_customer
 
@@ -32,10 +33,10 @@ def valid_customer_operations(ops: DataFrame, cleaned: DataFrame | None, pairs:
 
 
 def operation_numeric_aggs():
-    return [exact_avg("DELIVERY_TIME").alias("AVG_DELIVERY_TIME"),
+    return [exact_double_avg("DELIVERY_TIME").alias("AVG_DELIVERY_TIME"),
             share_where(F.col("WITHIN_SLA") == 0).alias("SLA_VIOLATION_RATE"),
-            exact_avg("APPROVAL_TIME").alias("AVG_APPROVAL_TIME"),
-            exact_avg("TOTAL_DISTANCE").alias("AVG_TOTAL_DISTANCE")]
+            exact_double_avg("APPROVAL_TIME").alias("AVG_APPROVAL_TIME"),
+            exact_double_avg("TOTAL_DISTANCE").alias("AVG_TOTAL_DISTANCE")]
 
 
 def operation_attribute_values(vops: DataFrame) -> DataFrame:

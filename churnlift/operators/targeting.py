@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_double_avg, exact_double_sum
 from ..functions.nulls import flag
 from ..functions.scalar import TREATMENT_THRESHOLD, discount_tier
 
@@ -64,8 +65,8 @@ def target_summary(targets: DataFrame) -> DataFrame:
     over = F.coalesce(F.col("ROI") > 1, F.lit(False)).cast("int")
     return targets.agg(
         F.count(F.lit(1)).alias("customers_targeted"),
-        F.bround(F.sum("Expected_Revenue_Saved"), 2).alias("total_expected_revenue_saved"),
-        F.bround(F.sum("Discount_Cost"), 2).alias("total_discount_cost"),
-        F.bround(F.avg("ROI"), 2).alias("mean_roi"),
+        F.bround(exact_double_sum("Expected_Revenue_Saved"), 2).alias("total_expected_revenue_saved"),
+        F.bround(exact_double_sum("Discount_Cost"), 2).alias("total_discount_cost"),
+        F.bround(exact_double_avg("ROI"), 2).alias("mean_roi"),
         F.bround(F.avg(over) * 100, 2).alias("pct_roi_above_1"),
         F.sum(over).cast("bigint").alias("count_roi_above_1"))

@@ -53,11 +53,5 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
         for f in df.schema.fields])
 
 
-def sql_rounded(body_cols: list[str], double_cols: set[str], src: str, places: int = 6) -> str:
-    """Oracle-side twin of ``rounded``."""
-    items = [f"round({c}, {places}) + 0.0 as {c}" if c in double_cols else c for c in body_cols]
-    return f"select {', '.join(items)} from {src}"
-
-
 def oracle(ctes: dict[str, str], body: str) -> str:
     return with_ctes(body, ctes)

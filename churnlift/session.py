@@ -20,6 +20,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # nanosecond timestamps are read as long and converted by the declared schema
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
 }
 
 

@@ -13,11 +13,10 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
                  nan_as_null: bool = True) -> DataFrame:
     """Scan a parquet table.  With ``schema`` the declared columns are
     checked (name and type) against the file footer, and only they are read.
-    Nanosecond timestamps, which Spark reads as long, become the declared
-    timestamp (microseconds, rounded down).  NaN becomes NULL so comparisons
+    Nanosecond timestamps, which Spark reads as long under the session settings
+    of ``session``, become the declared timestamp (microseconds, rounded down).  NaN becomes NULL so comparisons
     and averages follow pandas' missing-value rules.  The scan stays lazy:
     Catalyst still prunes columns and pushes filters into it."""
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     df = spark.read.parquet(path)
     if schema is not None:
         have = {f.name: f.dataType for f in df.schema.fields}
@@ -36,8 +35,8 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return nan_to_null(df) if nan_as_null else df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, nan_as_null: bool = True) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", nan_as_null=nan_as_null)
+def read_table(spark: SparkSession, sf_dir: str, name: str, nan_as_null: bool = True, schema: T.StructType | None = None) -> DataFrame:
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", schema, nan_as_null)
 
 
 def register_views(tables: dict[str, DataFrame]) -> None:

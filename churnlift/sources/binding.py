@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .contract import CONTRACTS, conforming
 from .io import read_table
 
 # Dates shift by whole years so that the reports' literal year bounds select rows.
@@ -24,6 +26,23 @@ EXTRA_DISCOUNT_PRIORITY = "1-URGENT"
 OPERATION_YEAR_SHIFT = 1
 
 
+# Declared schemas of the test tables: name and type are checked at each scan.
+RAW_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"}
+
+
+def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table under its declared schema."""
+    return read_table(spark, sf_dir, name, schema=T.StructType.fromDDL(RAW_SCHEMAS[name]))
+
+
 # Order priorities stand in for raw payment-method text: four of them name a
 # method the payment recoding knows, '4-NOT SPECIFIED' names one it does not.
 PRIORITY_TO_PAYMENT = {
@@ -53,8 +72,8 @@ NO_STORE, ORPHAN_STORE, ORPHAN_PRODUCT, NO_CUSTOMER, BAD_TIME = 20, 10, 20, 41,
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FACT_ORDER_TABLE: one row per order line."""
-    li = read_table(spark, sf_dir, "lineitem")
-    o = read_table(spark, sf_dir, "orders")
+    li = raw_table(spark, sf_dir, "lineitem")
+    o = raw_table(spark, sf_dir, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     offered = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     # extra (tax-sized) price cut between offered and charged price on urgent
@@ -87,15 +106,15 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read_table(spark, sf_dir, "supplier")
-    n = read_table(spark, sf_dir, "nation")
+    s = raw_table(spark, sf_dir, "supplier")
+    n = raw_table(spark, sf_dir, "nation")
     return (s.join(n, s.s_nationkey == n.n_nationkey)
              .select(F.col("s_suppkey").alias("STORE_ID"), F.col("s_name").alias("STORE_NAME"),
                      F.col("n_name").alias("PREFIX")))
 
 
 def product_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "part")
+    p = raw_table(spark, sf_dir, "part")
     bundle = (F.when(F.col("p_size") % 10 == 0, F.lit(1))
                .when(F.col("p_size") % 10 == 1, F.lit(None)).otherwise(F.lit(0)))
     return p.select(F.col("p_partkey").alias("SKU_ID"), F.col("p_name").alias("SKU_NAME"),
@@ -104,13 +123,13 @@ def product_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "customer")
+    c = raw_table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("CUSTOMER_ID"), F.col("c_mktsegment").alias("SEGMENT"))
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FACT_OPERATION_TABLE: one row per order (no CUSTOMER_ID)."""
-    e = read_table(spark, sf_dir, "events")
+    e = raw_table(spark, sf_dir, "events")
     ts = F.col("ts") + F.make_interval(F.lit(OPERATION_YEAR_SHIFT))
     return e.select(
         F.col("event_id").alias("ORDER_ID"),
@@ -125,14 +144,30 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def operations_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations as another tool exports them, every column text; some
+    dates, times and measurements are no such thing and some states are NULL."""
+    ops = operations(spark, sf_dir)
+    n = F.col("ORDER_ID")
+    return ops.select(
+        F.when(n % 97 == 0, F.concat(F.lit("#"), n.cast("string"))).otherwise(n.cast("string")).alias("ORDER_ID"),
+        F.when(n % 31 == 0, F.date_format("ORDER_DATE", "dd/MM/yyyy")).otherwise(F.date_format("ORDER_DATE", "yyyy-MM-dd HH:mm:ss")).alias("ORDER_DATE"),
+        "ORDER_TIME", F.when(n % 29 != 0, F.col("ORDER_STATE_FINAL")).alias("ORDER_STATE_FINAL"),
+        F.when(n % 37 == 0, "fast").otherwise(F.col("DELIVERY_TIME").cast("string")).alias("DELIVERY_TIME"),
+        F.col("WITHIN_SLA").cast("string").alias("WITHIN_SLA"), F.col("APPROVAL_TIME").cast("string").alias("APPROVAL_TIME"),
+        F.col("TOTAL_DISTANCE").cast("string").alias("TOTAL_DISTANCE"))
+
+
 def canonical_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
+    """The five tables under their contracts."""
+    tables = {
         "order_details": order_lines(spark, sf_dir),
         "store_master": store_master(spark, sf_dir),
         "product_master": product_master(spark, sf_dir),
         "user_master": user_master(spark, sf_dir),
         "operation_details": operations(spark, sf_dir),
     }
+    return {name: conforming(df, CONTRACTS[name]) for name, df in tables.items()}
 
 
 # ---- the same binding as SQL text (DuckDB oracle) ---------------------------

@@ -1,6 +1,8 @@
 """Files as other tools write them."""
 
 import datetime as dt
+import random
+from fractions import Fraction
 
 import pandas as pd
 import pyarrow as pa
@@ -8,6 +10,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import types as T
 
+from churnlift.functions.exact import exact_double_avg, exact_double_sum
+from churnlift.sources import binding
+from churnlift.sources.contract import CONTRACTS, ingest
 from churnlift.sources.io import read_csv, read_parquet, write_csv
 
 
@@ -51,3 +56,64 @@ def test_rewritten_file_is_read_anew(spark, tmp_path):
     assert read_parquet(spark, path).columns == ["id"]
     spark.range(3).selectExpr("id", "id * 2 as twice").write.mode("overwrite").parquet(path)
     assert read_parquet(spark, path).columns == ["id", "twice"]
+
+
+# ---- contracts --------------------------------------------------------------
+
+OPS = "ORDER_ID string, ORDER_DATE string, ORDER_TIME string, ORDER_STATE_FINAL string, DELIVERY_TIME string, WITHIN_SLA string, " \
+      "APPROVAL_TIME string, TOTAL_DISTANCE string, EXTRA int"
+GOOD = ("1", "2024-01-02 00:00:00", "10:11:12", "Valid", "1.5", "1", None, "2", 9)
+
+
+def test_strict_ingestion_raises(spark):
+    contract = CONTRACTS["operation_details"]
+    (row,) = ingest(spark.createDataFrame([GOOD], OPS), contract).collect()
+    assert row.asDict() == {"ORDER_ID": 1, "ORDER_DATE": dt.datetime(2024, 1, 2), "ORDER_TIME": "10:11:12", "ORDER_STATE_FINAL": "Valid",
+                            "DELIVERY_TIME": 1.5, "WITHIN_SLA": 1, "APPROVAL_TIME": None, "TOTAL_DISTANCE": 2.0}
+    for place, value, message in ((1, "02/01/2024", "ORDER_DATE: '02/01/2024' is not a timestamp_ntz"), (0, None, "ORDER_ID: NULL"),
+                                  (4, "fast", "DELIVERY_TIME: 'fast' is not a double")):
+        bad = GOOD[:place] + (value,) + GOOD[place + 1:]
+        with pytest.raises(Exception, match=message):
+            ingest(spark.createDataFrame([bad], OPS), contract).collect()
+    # times are coerced, as the reference does
+    coerced = GOOD[:2] + ("n/a",) + GOOD[3:]
+    assert ingest(spark.createDataFrame([coerced], OPS), contract).first()["ORDER_TIME"] is None
+    with pytest.raises(ValueError, match="TOTAL_DISTANCE"):
+        ingest(spark.createDataFrame([GOOD], OPS).drop("TOTAL_DISTANCE"), contract)
+
+
+def test_rejects_name_row_column_and_reason(spark):
+    bad = ("x7", "never", "25:00:00", None, "fast", "1", None, "2", 9)
+    good, rejects = ingest(spark.createDataFrame([GOOD, bad], OPS), CONTRACTS["operation_details"], "reject")
+    assert [r.ORDER_ID for r in good.collect()] == [1]
+    assert sorted(map(tuple, rejects.collect()), key=repr) == sorted([
+        ("x7", "ORDER_ID", "x7", "not a bigint"), ("x7", "ORDER_DATE", "never", "not a timestamp_ntz"),
+        ("x7", "ORDER_STATE_FINAL", None, "required"), ("x7", "DELIVERY_TIME", "fast", "not a double")], key=repr)
+    with pytest.raises(ValueError):
+        ingest(spark.createDataFrame([GOOD], OPS), CONTRACTS["operation_details"], "loose")
+
+
+def test_binding_declares_its_schemas(spark, tmp_path):
+    path = tmp_path / "nation.parquet"
+    pq.write_table(pa.table({"n_nationkey": pa.array([1], pa.int64()), "n_name": ["a"], "n_regionkey": pa.array([1], pa.int32())}), path)
+    with pytest.raises(TypeError, match="n_nationkey"):
+        binding.raw_table(spark, str(tmp_path), "nation")
+    assert set(binding.RAW_SCHEMAS) == {"nation", "customer", "supplier", "part", "orders", "lineitem", "events"}
+
+
+# ---- exact sums -------------------------------------------------------------
+
+def test_sums_of_doubles_keep_their_bits(spark):
+    rng = random.Random(1)
+    values = [1e13, 1e-9, -1e13, 3e-9, 12.34, 0.1, 0.2, -7.25, 1e15 + 0.5, 1 / 3, 2 ** 33 + 0.3, -1e-12]
+    values += [rng.gauss(0, 10 ** rng.randrange(-9, 12)) for _ in range(800)]
+    want = float(sum(map(Fraction, values)))
+    seen = set()
+    for parts in (1, 3, 8):
+        rng.shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double").repartition(parts)
+        seen.add(tuple(df.agg(exact_double_sum("x"), exact_double_avg("x")).first()))
+    assert seen == {(want, want / len(values))}
+    small = spark.createDataFrame([(1, 1e13), (1, 1e-9), (1, -1e13), (2, 12.34), (2, 0.1), (2, 0.2), (3, None)], "k int, x double")
+    got = {r.k: r.s for r in small.groupBy("k").agg(exact_double_sum("x").alias("s")).collect()}
+    assert got == {1: 1e-9, 2: 12.64, 3: None}

@@ -1,14 +1,16 @@
 """Sharding by a hierarchical weighted hash tree (region, rack, shard).
 
-Every row descends three levels.  At each level each child draws
-``-ln(u) / weight`` with ``u`` a hash of the row's key and the child's name,
-and the smallest draw wins.  A child's draw depends on its own name and weight
-only, so a changed weight moves rows into or out of that child's subtree and
-nowhere else; a node's weight is the sum below it.
+Every row descends three levels.  A shard draws ``-ln(u) / weight`` with ``u`` a
+hash of the row's key and the shard's name; the draw of a rack or a region is
+the smallest draw below it, which is a draw at the sum of the weights below.
+At each level the child with the smallest draw wins.  So a row ends at the shard
+with the smallest draw, and a changed weight moves rows into or out of the
+shards whose weight changes and nowhere else: one more shard, in whatever rack
+or region, takes rows only into itself, for every number of shards.
 
 Results for odd input: a null key draws as the text "null"; equal keys share a
-shard; an empty table stays empty; extra columns pass through, and the two
-columns added take the names given.
+shard; an empty table stays empty; texts play no part; extra columns pass
+through, and an added column whose name is taken is refused.
 """
 
 from __future__ import annotations
@@ -49,52 +51,45 @@ def draw(key: Column, node: str, weight: float) -> Column:
     return -F.ln(u) / F.lit(float(weight))
 
 
-def _winner(key: Column, options: list[tuple[str, float, Column]]) -> Column:
-    """Value of the option with the smallest draw (name breaks a tie)."""
-    if len(options) == 1:
-        return options[0][2]
-    best = F.array_min(F.array(*[
-        F.struct(draw(key, name, w).alias("d"), F.lit(i).alias("i")) for i, (name, w, _) in enumerate(options)]))["i"]
-    out = F.when(best == 0, options[0][2])
-    for i, (_, _, value) in enumerate(options[1:], 1):
-        out = out.when(best == i, value)
-    return out
-
-
 def shard_of(key: Column, tree: list[Shard]) -> Column:
     """Shard number of a key: descend region, then rack, then shard."""
     if not tree or any(s.weight <= 0 for s in tree):
         raise ValueError("a hash tree needs at least one shard, and positive weights")
     key = F.coalesce(key.cast("string"), F.lit("null"))
-    regions = []
-    for region in sorted({s.region for s in tree}):
-        in_region = [s for s in tree if s.region == region]
-        racks = []
-        for rack in sorted({s.rack for s in in_region}):
-            in_rack = sorted((s for s in in_region if s.rack == rack), key=lambda s: s.shard)
-            leaf = _winner(key, [(f"{region}/{rack}/{s.shard}", s.weight, F.lit(s.shard)) for s in in_rack])
-            racks.append((f"{region}/{rack}", sum(s.weight for s in in_rack), leaf))
-        regions.append((region, sum(s.weight for s in in_region), _winner(key, racks)))
-    return _winner(key, regions)
+    leaves = sorted(tree, key=lambda s: (s.region, s.rack, s.shard))
+    draws = F.array(*[F.struct(draw(key, f"{s.region}/{s.rack}/{s.shard}", s.weight).alias("d"), F.lit(i).alias("i"))
+                      for i, s in enumerate(leaves)])
+    # the least draw of the regions, of its racks and of its shards is one and the same
+    return F.element_at(F.array(*[F.lit(s.shard) for s in leaves]), F.array_min(draws)["i"] + 1)
 
 
 def assign(df: DataFrame, key: str, tree: list[Shard], out: str = "shard") -> DataFrame:
     """``df`` with the shard of each row in column ``out``; no shuffle."""
+    _free(df, out)
     return df.withColumn(out, shard_of(F.col(key), tree).cast("int"))
 
 
+def _free(df: DataFrame, name: str) -> None:
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"column {name} is already there")
+
+
 def number_slots(df: DataFrame, shard: str, order: list[str], out: str = "slot") -> DataFrame:
     """Number the rows of each shard from 0 without gaps.
 
-    The order is md5 of the first order column, then all order columns.  Rows
-    equal in every column are counted before the shuffle and unfolded after
-    it.  Each shard is cut by hash prefix into buckets of about
-    ``ROWS_PER_BUCKET`` rows; bucket totals give the offsets, so no window
-    ever spans a shard.  Empty input gives no rows.
+    The order is md5 of the order columns, then the columns.  Rows equal in
+    every column are counted before the shuffle and unfolded after it.  Each
+    shard is cut by hash prefix into buckets of about ``ROWS_PER_BUCKET`` rows
+    of the largest shard; bucket totals give the offsets, so no window ever
+    spans a shard, and rows that share one column (an id) spread over the
+    buckets by the others.  Empty input gives no rows.
     """
+    _free(df, out)
     rows = F.struct(*[F.col(c) for c in df.columns]).alias("row")
-    digits = F.substring(F.md5(F.coalesce(F.col("row")[order[0]].cast("string"), F.lit("null"))), 1, DRAW_HEX)
-    buckets = max(1, -(-df.count() // (8 * ROWS_PER_BUCKET)))
+    named = F.concat_ws("|", *[F.coalesce(F.col("row")[c].cast("string"), F.lit("null")) for c in order])
+    digits = F.substring(F.md5(named), 1, DRAW_HEX)
+    largest = df.groupBy(shard).count().agg(F.max("count")).first()[0] or 0
+    buckets = max(1, -(-largest // ROWS_PER_BUCKET))
     same = (df.select(rows).groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
             .select("row", "copies", F.col("row")[shard].alias("shard"), F.conv(digits, 16, 10).cast("long").alias("h"))
             .withColumn("bucket", F.floor(F.col("h") * F.lit(float(buckets)) / F.lit(DRAW_SPAN)).cast("long")))

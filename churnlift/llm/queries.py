@@ -106,7 +106,7 @@ def op7_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in one of 8 shards; the ninth opens a region of its own."""
+    """Every document in one of 8 shards, and the shard it has of 9."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")

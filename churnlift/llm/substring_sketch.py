@@ -7,16 +7,21 @@ an anchor's number of places is never below the count of any of its windows,
 and consecutive windows share one anchor, so a text gives one count per
 anchor place instead of one per word.  Partitions emit sparse counters of a
 count-min sketch; the counters are added, and the cells that reach 2 form a
-bit set of fixed size (``ROWS`` x ``CELLS`` bits) that is broadcast.
+bit set that is broadcast.  The number of cells follows from the bytes of the
+texts, so that a row has about ``SPARE`` cells for each anchor, up to
+``MOST_CELLS`` (the broadcast bound; from about 12 GB of text on, the sketch fills
+and sends more windows on).
 
 Pass 2 looks every anchor up.  Only windows whose anchor is estimated repeated
 in all sketch rows go on, as one row per anchor place with the hashes of its
 windows.  Repeats inside one batch are settled there (one row goes on for all
 of them, so a passage shared by a third of all texts costs one row a batch);
-the rest is grouped exactly by window.  A fuller sketch sends more windows to
-the exact step and loses none.
+the rest is grouped exactly by window, rows of one anchor together.  Anchors of
+more than ``HOT_ROWS`` rows are taken apart: their windows are counted one by one
+by (anchor, window), so that no anchor is one task's.  A fuller sketch sends
+more windows to the exact step and loses none.
 
-Results for odd input: null or empty text has no words; texts below ``width``
+Texts of any length are read whole, one at a time.  Results for odd input: null or empty text has no words; texts below ``width``
 words lose nothing; equal texts of ``width`` words or more repeat each other
 and lose all; a repeated row counts as another text.  Only the two columns
 named are read, so other columns cannot clash.
@@ -36,9 +41,14 @@ from .storage import written
 from .text import WordHashes, covered, grams, mix, runs, utf8
 
 GRAM = 8
-#: Sketch rows and cells a row: the broadcast bit set is ROWS * CELLS / 8 bytes (32 MB).
+#: Sketch rows; the broadcast bit set is ROWS * cells / 8 bytes, 128 MB at most.
 ROWS = 2
-CELLS = 1 << 27
+MOST_CELLS = 1 << 29
+#: Cells of a row for each anchor, and bytes of text that hold one anchor on average.
+SPARE = 8
+BYTES_PER_ANCHOR = 85
+#: Rows of one anchor that the exact step holds together.
+HOT_ROWS = 20_000
 #: Cells of one sketch segment (64 KB of bits).
 SEGMENT = 1 << 19
 
@@ -110,7 +120,14 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
                          "bits": [np.packbits(total >= 2).tobytes()]})
 
 
-def sketch(texts: DataFrame, width: int, cells: int = CELLS) -> np.ndarray:
+def cells_for(texts: DataFrame) -> int:
+    """Cells of a sketch row by the bytes of the texts."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = SPARE * size // BYTES_PER_ANCHOR
+    return min(MOST_CELLS, max(SEGMENT, 1 << max(0, wanted - 1).bit_length()))
+
+
+def sketch(texts: DataFrame, width: int, cells: int) -> np.ndarray:
     """Bits [row, cell / 8] of the cells counted twice or more.
 
     What comes to the driver is the merged bit set: ROWS * cells / 8 bytes at
@@ -203,7 +220,7 @@ def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = rows["size"].to_numpy()
         flat = np.frombuffer(b"".join(rows["windows"]), _U)
         owner = np.repeat(np.arange(len(rows)), size)
-        # a window is judged within its anchor: both 64-bit hashes must agree
+        # within an anchor a window is judged by its own 64-bit hash; so is a batch's repeat
         pair = np.stack([np.repeat(rows["anchor"].to_numpy().astype(np.uint64), size), flat], 1)
         order = np.lexsort((pair[:, 1], pair[:, 0]))
         same = (pair[order][1:] == pair[order][:-1]).all(axis=1)
@@ -236,17 +253,33 @@ def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settle(pd.concat(held))
 
 
-def repeated_ranges(df: DataFrame, text: str, width: int = 35, cells: int = CELLS) -> DataFrame:
+def _taken_apart(rows: DataFrame) -> DataFrame:
+    """(key, first, size) of the OPEN windows of hot anchors that are found
+    twice: windows become rows, counted by (anchor, window)."""
+    @F.pandas_udf("array<long>")
+    def hashes(windows: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(w, np.int64) for w in windows], dtype=object)
+
+    one = rows.select("kind", "anchor", "key", "first", F.posexplode(hashes("windows")).alias("at", "window"))
+    twice = one.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
+    return (one.where(F.col("kind") == OPEN).join(written(twice, "hot-windows"), ["anchor", "window"])
+            .select("key", (F.col("first") + F.col("at")).cast("int").alias("first"), F.lit(1).alias("size")))
+
+
+def repeated_ranges(df: DataFrame, text: str, width: int = 35, cells: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(key, firsts, sizes) of the texts with repeated windows: ``key`` is the
     text's md5; runs of repeated window starts by first start and length."""
     texts = df.select(F.unhex(F.md5(F.col(text))).alias("key"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    bits = df.sparkSession.sparkContext.broadcast(sketch(texts.select("text"), width, cells))
+    bits = df.sparkSession.sparkContext.broadcast(sketch(texts.select("text"), width, cells or cells_for(texts)))
     found = texts.mapInPandas(lambda it: _candidates(it, width, bits.value),
                               "kind int, anchor long, key binary, first int, size int, windows binary")
     found = written(found, "windows")
-    exact = (found.where(F.col("kind") != SETTLED).repartition("anchor").sortWithinPartitions("anchor")
-             .mapInPandas(_exact, "key binary, first int, size int"))
-    ranges = found.where(F.col("kind") == SETTLED).select("key", "first", "size").unionByName(exact)
+    unsettled = found.where(F.col("kind") != SETTLED)
+    hot = written(unsettled.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("anchor"), "hot-anchors")
+    exact = (unsettled.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+             .select("kind", "anchor", "key", "first", "size", "windows").mapInPandas(_exact, "key binary, first int, size int"))
+    apart = _taken_apart(unsettled.join(hot, "anchor"))
+    ranges = found.where(F.col("kind") == SETTLED).select("key", "first", "size").unionByName(exact).unionByName(apart)
     return (ranges.distinct().groupBy("key")
             .agg(F.collect_list(F.struct("first", "size")).alias("r"))
             .select("key", F.col("r")["first"].alias("firsts"), F.col("r")["size"].alias("sizes")))
@@ -261,10 +294,11 @@ def keep_unrepeated(words: list[bytes], firsts, sizes, width: int) -> list[bytes
     return [w for w, g in zip(words, gone) if not g]
 
 
-def remove_repeats(df: DataFrame, id_col: str, text: str, width: int = 35, cells: int = CELLS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str, text: str, width: int = 35, cells: int | None = None,
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id_col, n_words, n_removed, kept): every text without the words that a
     repeated window covers, joined by single spaces."""
-    ranges = written(repeated_ranges(df, text, width, cells), "ranges")
+    ranges = written(repeated_ranges(df, text, width, cells, hot_rows), "ranges")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def rest(texts: pd.Series, firsts: pd.Series, sizes: pd.Series) -> pd.DataFrame:

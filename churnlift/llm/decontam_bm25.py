@@ -25,7 +25,9 @@ whatever the number of items.
 
 Results for odd input: items and texts that are null, empty or without words
 match nothing; equal items are retrieved each under its id, a null item id
-stays null; repeated texts get equal results; extra columns pass through.
+stays null; repeated texts get equal results; extra columns pass through,
+an input column that has the output's name is replaced; texts of any length
+are read whole, one at a time; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -22,7 +22,10 @@ Results for odd input: null or empty text, or text without words, has no
 shingles and is linked with nothing; a text shorter than a shingle is one
 shingle; equal texts and repeated rows are linked; a null id takes part in its
 class but names no component, unless all ids of the component are null (then
-the component is null).  Only the two columns named are read.
+the component is null); ids of any type, whole beside a null; texts of any
+length are read whole, one at a time; an empty table gives an empty one.  ``join``
+reads the two columns named only; ``keep_one`` keeps of rows equal in id and
+text the one whose other columns come first in order.
 """
 
 from __future__ import annotations
@@ -402,5 +405,9 @@ def keep_one(df: DataFrame, id_col: str, text: str, words: int = 5, percent: int
 
     # rows that stay but stand there repeatedly are cut to one
     again = told.where("stays").select("drop_id", "drop_key")
-    return matched(told.select("drop_id", "drop_key"), "left_anti").unionByName(
-        matched(again, "left_semi").dropDuplicates([id_col, text]))
+    repeated = matched(again, "left_semi")
+    others = [c for c in df.columns if c not in (id_col, text)]
+    first = F.min(F.struct(*others)) if others else F.count(F.lit(1))
+    one = repeated.groupBy(id_col, text).agg(first.alias("_others"))
+    one = one.select(id_col, text, *(["_others.*"] if others else [])).select(*df.columns)
+    return matched(told.select("drop_id", "drop_key"), "left_anti").unionByName(one)

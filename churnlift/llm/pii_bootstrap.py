@@ -16,7 +16,8 @@ dropped.
 
 Results for odd input: null is the empty text, without spans; equal texts get
 equal spans, and count once as evidence; without seeds nothing is discovered;
-extra columns pass through.
+extra columns pass through, an input column that has the output's name is replaced; texts of any length
+are read whole, one at a time; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ the rules stated in ``base_counts``.
 Results for odd input: null or empty text, or text without words, has zero
 counts, fails the base rules and is not kept; without labelled rows all
 weights are 0 and every line is content; repeated rows get equal results;
-extra columns pass through.
+extra columns pass through, an input column that has the output's name is replaced; texts of any length
+are read whole, one at a time; an empty table gives an empty one.
 """
 
 from __future__ import annotations

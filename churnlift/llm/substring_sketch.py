@@ -24,7 +24,7 @@ more windows to the exact step and loses none.
 Texts of any length are read whole, one at a time.  Results for odd input: null or empty text has no words; texts below ``width``
 words lose nothing; equal texts of ``width`` words or more repeat each other
 and lose all; a repeated row counts as another text.  Only the two columns
-named are read, so other columns cannot clash.
+named are read, so other columns cannot clash; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ out (identity terms stay).  Scoring reads every whole text.
 
 Results for odd input: null or empty text scores as no words (the intercept);
 without labelled rows of both labels every score is the share of label 1 among
-them (0 without rows); repeated rows get equal scores; extra columns pass
-through.
+them (0 without rows); repeated rows get equal scores; extra columns pass through,
+an input column that has the output's name is replaced; texts of any length
+are read whole, one at a time; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ begin with a space are the word-initial pieces, all others continue a word.
 
 Results for odd input: null or empty text, and text without words, have 0
 words and 0 tokens; a word that the vocabulary cannot cover counts as one
-unknown token; repeated rows get equal results; extra columns pass through.
+unknown token; repeated rows get equal results; extra columns pass through,
+an input column that has the output's name is replaced; texts of any length
+are read whole, one at a time; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -119,10 +119,6 @@ def personal(text):
     return out
 
 
-def span_text(spans):
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
 def size_and_crc(text):
     raw = (text or "").encode("utf-8")
     return len(raw) + 1, zlib.crc32(raw)

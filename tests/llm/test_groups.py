@@ -226,6 +226,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(final.doc_id) <= set(good)
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_stand_odd_rows(spark, docs, rows, no_docs, name):
+    stage, src = dict(corpus_pipeline.STAGES)[name], "/root/testdata/sf0.001"
+    out = stage(spark, docs, src)
+    last = name == corpus_pipeline.STAGES[-1][0]
+    assert last or out.columns == docs.columns
+    assert stage(spark, no_docs, src).count() == 0
+    if name == "quality rules":
+        kept = listed(out, "doc_id", "text")
+        # (the labels of the test table belong to other texts)
+        assert kept and all(pair in rows and not brute.quality(pair[1])[5] for pair in kept)
+    elif name == "n-gram Jaccard join":
+        assert out.where("doc_id = 5").count() == 1 and out.where("trim(coalesce(text, '')) = ''").count() >= 2
+    elif name == "benchmark decontamination":
+        same(listed(out, "doc_id", "text"), rows)
+    elif name == "personal data":
+        got = {(r.doc_id, r.n_chars) for r in out.collect()}
+        assert out.count() == len(rows) and (0, None) in got and (1, 0) in got
+    else:
+        assert out.count() == len(rows) and out.where("not round_trip").count() == 0
+        assert out.where("doc_id = 0").first()["n_tokens"] == 0
+
+
+def test_one_of_equal_rows_stays_the_same(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    data = [(1, text, s, n) for s, n in (("b", 1), ("a", 9), ("a", 2), (None, 7))] + [(2, text + " end", "z", 0)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(data, "doc_id long, text string, source string, n long").repartition(parts)
+        assert [tuple(r) for r in jaccard_tiles.keep_one(df, "doc_id", "text").collect()] == [(1, text, None, 7)]
+
+
 def test_queries_return_their_columns(spark):
     src = "/root/testdata/sf0.001"
     want = {"op1_": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},

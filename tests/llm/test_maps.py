@@ -1,8 +1,11 @@
 """Operators that judge each text by itself."""
 
+import math
 import random
+import re
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -10,7 +13,7 @@ from corpus import listed
 
 from churnlift.llm import (byte_bpe, decontam_bm25, license_zstd, pii_bootstrap, quality_crf, toxicity_counterfactual,
                            wordpiece_counts)
-from churnlift.llm.queries import VOCABULARY
+from churnlift.llm.queries import QUERIES, VOCABULARY
 
 
 def same(got, want):
@@ -217,6 +220,54 @@ def test_toxicity_learns_insults_not_groups(spark):
     assert got[0] == got[1] == model.score("") and got[2] == got[3] > 0.7
 
 
+def brute_features(text):
+    """Capped shares of words and word beginnings, counted one by one."""
+    ws = re.findall(r"\w+", (text or "").lower())
+    marks = [f for w in ws for f in [w, *[w[:k] + "~" for k in (4, 5, 6, 7) if len(w) >= k]]]
+    return {f: min(1.0, marks.count(f) / len(ws) / 0.02) for f in set(marks)}
+
+
+def test_toxicity_scores_by_brute_force(rows):
+    rng = random.Random(31)
+    texts = [t for _, t in rows if t is None or len(t) < 5000]
+    names = sorted({f for t in texts for f in brute_features(t)})
+    model = toxicity_counterfactual.ToxicityModel(-0.3, {f: rng.gauss(0, 1) for f in rng.sample(names, 60)})
+    for t in texts:
+        assert toxicity_counterfactual.features(toxicity_counterfactual.words_of(t)) == pytest.approx(brute_features(t))
+        z = model.intercept + sum(model.weights.get(f, 0.0) * v for f, v in brute_features(t).items())
+        assert model.score(t) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+
+
+def test_toxicity_fit_meets_its_optimum():
+    """The conditions of the minimum of loss + swap penalty + L1, on dense matrices."""
+    rng = np.random.default_rng(5)
+    names = [f"f{i}" for i in range(8)]
+    x = rng.random((60, 8)) * (rng.random((60, 8)) < 0.6)
+    y = (x[:, 0] - x[:, 1] + 0.3 * rng.normal(size=60) > 0).astype(int)
+    moved = np.zeros((10, 8))
+    moved[:, 2], moved[:, 0] = rng.random(10), -rng.random(10)
+    l1, swap = 2e-3, 0.7
+
+    def rows_of(m):
+        return [{n: float(v) for n, v in zip(names, r) if v} for r in m]
+    model = toxicity_counterfactual.train(rows_of(x), rows_of(moved), y.tolist(), l1, swap, steps=20_000)
+    w = np.array([model.weights.get(n, 0.0) for n in names])
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    r = (1 / (1 + np.exp(-(x @ w + model.intercept))) - y) * weight
+    grad = x.T @ r + moved.T @ (moved @ w) * 2 * swap / len(moved)
+    assert abs(r.sum()) < 1e-6 and (w != 0).any() and (w == 0).any()
+    assert np.abs(grad[w != 0] + l1 * np.sign(w[w != 0])).max() < 1e-6 and np.abs(grad[w == 0]).max() <= l1 + 1e-6
+    free = toxicity_counterfactual.train(rows_of(x), [], y.tolist(), l1, swap, steps=20_000)
+    change = [abs(moved @ np.array([m.weights.get(n, 0.0) for n in names])).mean() for m in (model, free)]
+    assert change[0] < change[1]
+
+
+def test_held_out_rows_of_the_query(spark):
+    got = QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.001").toPandas()
+    assert list(got.held_out) == [brute.held_out(i) for i in got.doc_id] and got.held_out.any() and not got.held_out.all()
+    assert got.score.between(0, 1).all() and ((got.score >= 0.7).astype(int) == got.predicted).all()
+
+
 def test_toxicity_without_labels(docs, no_docs):
     for label, want in (("null", 0.0), ("0", 0.0), ("1", 1.0)):
         model = toxicity_counterfactual.fit(docs.selectExpr("text", f"cast({label} as int) y"), "text", "y")
@@ -395,6 +446,37 @@ def test_wand_retrieves_all_above_threshold():
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_overlaps_by_brute_force(spark):
+    rng = random.Random(23)
+    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(4, 80)))) for k in range(30)]
+
+    def shares(item, text):
+        """Shares of the distinct five-word runs of question and answer that stand in the text."""
+        ws, body = item.split(), text.split()
+        size = max(7, len(ws) // 4)
+        q, a = (ws, ws) if len(ws) < size + 5 else (ws[:-size], ws[-size:])
+        out = []
+        for part in (q, a):
+            n = min(5, len(part))
+            own = {tuple(part[i:i + n]) for i in range(len(part) - n + 1)}
+            there = {tuple(body[i:i + n]) for i in range(len(body) - n + 1)}
+            out.append(len(own & there) / len(own))
+        return out
+    rows = []
+    for k, t in items:
+        for cut in (0, 3, 9, 30):
+            ws = t.split()
+            rows.append((len(rows), " ".join([f"x{rng.randrange(99)}" for _ in range(40)] + ws[:max(1, len(ws) - cut)] + ["y"] * 40)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontam_bm25.find(df, "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    got = {(r.doc_id, h.item_id): (h.question, h.answer) for r in found.collect() for h in r.hits}
+    for (doc, item), pair in got.items():
+        want = shares(items[item][1], rows[doc][1])
+        assert pair == pytest.approx(want) and want[0] >= 0.8 and want[1] >= 0.5
+    # whole items are all there, and so is whatever keeps its words and overlaps
+    assert all((4 * k, k) in got for k, _ in items) and len(got) < len(rows)
+
+
 def test_rounded_bounds_close_no_block():
     score = 10.49 * 2.0 ** -11  # rounds down in single precision beside a sum of 5000
     terms = [f"t{k}" for k in range(118)]

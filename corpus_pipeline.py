@@ -4,6 +4,11 @@ personal data, token ids.
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
 writes each result as Parquet in the shared folder and rereads it as the next
 stage's ``docs``.  All stages but the last return the columns of ``documents``.
+
+Odd input, at every stage: an empty table gives an empty one; rows that repeat
+are judged alike; extra columns pass through the first four stages, whatever
+their names.  What becomes of null, empty and very long texts and of null ids
+is said at each stage.
 """
 
 from __future__ import annotations
@@ -18,33 +23,38 @@ from churnlift.llm.storage import prepare, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and hold enough content lines."""
+    """Documents that pass the base rules and hold enough content lines; null
+    and empty texts and texts below ten words go."""
     prepare(spark)
     model = quality_crf.fit(labelled(docs, table(spark, sf_dir, "labels"), "quality"), "text", "label")
     return quality_crf.keep_good(docs, "text", model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by Jaccard 0.8 on five-word shingles."""
+    """One document of each group linked by Jaccard 0.8 on five-word shingles,
+    the one with the smallest id (a null id last); of rows equal in id and text
+    the first by the other columns; texts without words all stay."""
     prepare(spark)
     return jaccard_tiles.keep_one(docs, "doc_id", "text", words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; null and empty texts hold none."""
     prepare(spark)
     return decontam_bm25.keep_clean(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; ``n_chars`` follows the text."""
+    """Documents with personal data replaced by its kind; ``n_chars`` follows
+    the text (null where the text is)."""
     prepare(spark)
     return (pii_bootstrap.redact(docs, "text")
             .withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether decoding returns its bytes."""
+    """Token ids of every document, and whether decoding returns its bytes; a
+    null text has no ids."""
     prepare(spark, rows=300)
     ids = byte_bpe.encode(docs, "text", VOCABULARY, public_tokenizers.PATTERN, "ids")
     back = byte_bpe.decode(ids, "ids", VOCABULARY, "bytes")

@@ -34,6 +34,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     conf = dict(BASE_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "16g")
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
     conf.update(extra or {})
@@ -69,6 +70,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Intermediate tables of this process by application, in the order they were named.
+_scratch: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Remove every intermediate table that ``scratch_path`` named so far, and
+    return their number.  Call it when no result that reads them is needed any
+    more: between queries, at the end of a job.  (Checkpoints of ``materialize``
+    go with their DataFrames where the session cleans checkpoints.)"""
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)

@@ -222,6 +222,21 @@ def test_buckets_follow_the_rows_and_change_nothing(spark, monkeypatch):
     assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 501))
 
 
+def test_ranges_of_running_totals_are_even(spark, monkeypatch):
+    """10**7 scores, heavily skewed: no range beyond twice what it is meant to hold."""
+    from churnlift.functions import ranking
+    n = 10_000_000
+    df = spark.range(n).select((F.col("id").cast("double") / n).alias("u"), F.lit(1).alias("v")).select(F.pow("u", F.lit(9)).alias("s"), "v")
+    buckets = ranking.bucket_count(n)
+    dealt = df.repartitionByRange(buckets, F.col("s").desc()).groupBy(F.spark_partition_id()).count()
+    assert buckets == 100 and dealt.agg(F.max("count")).first()[0] <= 2 * ranking.ROWS_PER_BUCKET
+    few = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("s"), F.lit(2).alias("v"), (F.col("id") % 2).alias("t")).cache()
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 50)
+    got = running_totals(few, "s", ["v"], descending=False, partition_cols=["t"]).collect()
+    order = {t: sorted(r.s for r in few.collect() if r.t == t) for t in (0, 1)}
+    assert len(got) == 1000 and all(r.cum_v == 2 * (order[r.t].index(r.s) + 1) for r in got)
+
+
 def test_rank_in_order_numbers_ranges(spark):
     from churnlift.functions.ranking import rank_in_order
     df = spark.range(300).select((F.col("id") % 3).alias("c"), F.col("id").cast("string").alias("v")).repartition(5)

@@ -117,3 +117,14 @@ def test_sums_of_doubles_keep_their_bits(spark):
     small = spark.createDataFrame([(1, 1e13), (1, 1e-9), (1, -1e13), (2, 12.34), (2, 0.1), (2, 0.2), (3, None)], "k int, x double")
     got = {r.k: r.s for r in small.groupBy("k").agg(exact_double_sum("x").alias("s")).collect()}
     assert got == {1: 1e-9, 2: 12.64, 3: None}
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from churnlift.session import release_scratch, scratch_path
+    release_scratch(spark)
+    paths = [scratch_path(spark, "probe") for _ in range(2)]
+    spark.range(3).write.parquet(paths[0])
+    assert os.path.isdir(paths[0]) and release_scratch(spark) == 2
+    assert not os.path.exists(paths[0]) and release_scratch(spark) == 0

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 #: Rows and bytes of one Arrow batch handed to Python; bounds a worker's memory.
 BATCH_ROWS = 1000
@@ -26,7 +24,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     optimiser the table's real size, so it broadcasts the small ones only.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

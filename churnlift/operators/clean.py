@@ -31,11 +31,15 @@ def _present(df: DataFrame, cols) -> list[str]:
 
 
 def left_enrich(facts: DataFrame, dim: DataFrame, key: str, cols, null_safe: bool = False) -> DataFrame:
-    """Left join on one key, bringing ``cols`` (manual pruning, P1)."""
+    """Left join on one key, bringing ``cols`` (manual pruning, P1).
+
+    pandas matches a NULL key with a NULL key (N1).  A plain join does not, so
+    without ``null_safe`` a dimension row with a NULL key is an error."""
     right = dim.select(key, *_present(dim, cols))
     if null_safe:
         return null_safe_join(facts, right, key, "left")
-    return facts.join(right, on=key, how="left")
+    missing = F.raise_error(F.lit(f"NULL in dimension key {key}")).cast(dim.schema[key].dataType)
+    return facts.join(right.withColumn(key, F.coalesce(F.col(key), missing)), on=key, how="left")
 
 
 def enrich_store(lines: DataFrame, stores: DataFrame, key: str = "STORE_ID",

@@ -195,3 +195,12 @@ def test_repeated_users_repeat_lines(spark, golden_tables):
         return {r.CUSTOMER_ID: r.Monetary for r in customer_features(dict(golden_tables, user_master=users)).collect()}
     assert monetary(unique) == {"C1": 26.0, "C2": 15.0}
     assert monetary(twice) == {"C1": 52.0, "C2": 15.0}
+
+
+def test_null_dimension_keys_are_refused(spark):
+    lines = spark.createDataFrame([(1, None), (2, 7)], "ORDER_ID long, STORE_ID long")
+    good = spark.createDataFrame([(7, "s", "p")], "STORE_ID long, STORE_NAME string, PREFIX string")
+    assert [r.ORDER_ID for r in clean.enrich_store(lines, good).collect()] == [2]
+    bad = good.unionByName(spark.createDataFrame([(None, "x", "p")], good.schema))
+    with pytest.raises(Exception, match="NULL in dimension key STORE_ID"):
+        clean.enrich_store(lines, bad).collect()

@@ -73,8 +73,10 @@ def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = F.element_at(F.array(*[F.lit(k) for k in pii_bootstrap.KINDS]), spans["kind"] + 1)
         return F.concat_ws(":", name, spans["start"].cast("string"), spans["end"].cast("string"))
 
-    counts = [F.size(F.filter("found.base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(pii_bootstrap.KINDS)]
+    def number(k):  # the lambda takes the span alone: Spark passes the place in the array as a second argument
+        return F.size(F.filter("found.base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(pii_bootstrap.KINDS)]
     return found.select("doc_id", *counts,
                         F.sha2(F.array_join(F.transform("found.base", joined), ","), 256).alias("base_sha256"),
                         F.array_join(F.transform("found.all", joined), ",").alias("spans"))

@@ -1,5 +1,6 @@
 """Operators that judge each text by itself."""
 
+import hashlib
 import math
 import random
 import re
@@ -174,6 +175,17 @@ def test_personal_data_on_odd_texts(docs, rows, no_docs):
     assert pii_bootstrap.redact(no_docs, "text").count() == 0
 
 
+def test_personal_data_query_counts_every_kind(spark, tmp_path):
+    """Counts by kind, wherever in the list of spans a kind stands."""
+    texts = ["x@y.zz", "1.2.3.4", "4111 1111 1111 1111", "+1 555 123 4567", "1.2.3.4 and 5.6.7.8 and x@y.zz", "a@b.cc c@d.ee +1 555 123 4567",
+             None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op4_pii_bootstrap"](spark, str(tmp_path))
+    want = [(i, *(sum(k == kind for k, _, _ in brute.personal(t)) for kind in pii_bootstrap.KINDS),
+             hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute.personal(t)).encode()).hexdigest()) for i, t in enumerate(texts)]
+    same(listed(out, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"), want)
+
+
 # ---- token counts --------------------------------------------------------
 
 def test_piece_counts(docs, rows, no_docs):

@@ -6,10 +6,12 @@ import sys
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from churnlift.functions.ranking import rank_by_hash, running_totals
+from churnlift.operators import margin
 from churnlift.operators.features import Encoding, written_vectors
 from churnlift.operators.margin import gamma_scale, kernel_map
 from churnlift.operators.outliers import iforest, ocsvm
@@ -242,3 +244,30 @@ def test_rank_in_order_numbers_ranges(spark):
     df = spark.range(300).select((F.col("id") % 3).alias("c"), F.col("id").cast("string").alias("v")).repartition(5)
     got = [(r.c, r.v) for r in sorted(rank_in_order(df, ["c", "v"]).collect(), key=lambda r: r["rank"])]
     assert got == sorted((i % 3, str(i)) for i in range(300))
+
+
+def test_first_planes_at_a_samples_points_save_passes(spark, monkeypatch):
+    """Passes over all rows are few, and the gap stays that of all rows."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(size=3)], [int(rng.integers(3, 9))]) for i in range(900)]
+    points = spark.createDataFrame(rows, "CUSTOMER_ID long, nums array<double>, cats array<int>").cache()
+    passes, scan = [], type(points).mapInArrow
+    monkeypatch.setattr(type(points), "mapInArrow", lambda self, *a, **k: passes.append(1) or scan(self, *a, **k))
+    cold = ocsvm.fit(points, 9, 0.05, tolerance=0.02, local_rows=0)
+    cold_passes = len(passes)
+    passes.clear()
+    warm = ocsvm.fit(points, 9, 0.05, tolerance=0.02, local_rows=899)
+    assert len(passes) < cold_passes
+    for model in (cold, warm):
+        assert model.gap <= 0.02 * abs(model.objective)
+    assert abs(cold.objective - warm.objective) <= 0.02 * abs(cold.objective)
+
+
+def test_single_precision_features_are_those_of_the_map():
+    rng = np.random.default_rng(1)
+    nums, cats = rng.normal(size=(1500, 3)) * 30, rng.integers(-1, 6, (1500, 2))
+    cats = np.where(cats >= 0, cats + 3, -1)
+    kernel = margin.KernelMap(0.3, 64, 5)
+    batch = pa.RecordBatch.from_pydict({"nums": list(nums), "cats": list(cats)})
+    got = np.vstack([z for _, z in margin.SingleMap(kernel).blocks(batch)])
+    assert got.dtype == np.float32 and np.abs(got - kernel.of(nums, cats)).max() < 1e-5

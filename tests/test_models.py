@@ -271,3 +271,18 @@ def test_single_precision_features_are_those_of_the_map():
     batch = pa.RecordBatch.from_pydict({"nums": list(nums), "cats": list(cats)})
     got = np.vstack([z for _, z in margin.SingleMap(kernel).blocks(batch)])
     assert got.dtype == np.float32 and np.abs(got - kernel.of(nums, cats)).max() < 1e-5
+
+
+def test_svm_passes_start_from_a_samples_points(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in x], [int(rng.integers(2, 6))], int(x[0] + 0.3 * rng.normal() > 0)) for i, x in enumerate(rng.normal(size=(700, 2)))]
+    df = spark.createDataFrame(rows, "id long, nums array<double>, cats array<int>, y int").cache()
+    steps, add = [], margin.Planes.add
+    monkeypatch.setattr(margin.Planes, "add", lambda self, *a, at=None, **k: steps.append(at is not None) or add(self, *a, at=at, **k))
+    model = svm.KernelSvms(df, "id", 6, [svm.Problem("p", "y")], tolerance=0.05, error=0.08, local_rows=500)
+    assert sum(steps) > len(model.models)  # several points of a model in the first pass
+    near = svm.KernelSvms(df, "id", 6, [svm.Problem("p", "y")], tolerance=0.05, error=0.08)
+    for k, p in model.models.items():
+        assert p.gap <= 0.05 * max(p.best, 1e-3) and abs(p.best - near.models[k].best) <= 0.05 * p.best
+    p = model.predict(df).join(df, "id").toPandas()
+    assert ((p["p"] > 0.5) == p["y"]).mean() > 0.85

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import threading
 from types import SimpleNamespace
 
 import numpy as np
@@ -286,3 +287,24 @@ def test_svm_passes_start_from_a_samples_points(spark, monkeypatch):
         assert p.gap <= 0.05 * max(p.best, 1e-3) and abs(p.best - near.models[k].best) <= 0.05 * p.best
     p = model.predict(df).join(df, "id").toPandas()
     assert ((p["p"] > 0.5) == p["y"]).mean() > 0.85
+
+
+def test_forests_grow_while_boosters_do(spark, monkeypatch):
+    at_work = threading.Event()
+
+    class Seen(learners.forest.Forests):
+        def __init__(self, *a):
+            at_work.set()
+            super().__init__(*a)
+
+    def slow(*a, started, **k):
+        started()
+        assert at_work.wait(60)
+        return fit(*a, started=started, **k)
+    fit = learners.boosting.fit
+    monkeypatch.setattr(learners.boosting, "fit", slow)
+    monkeypatch.setattr(learners.forest, "Forests", Seen)
+    rows = spark.createDataFrame([(i, [float(i % 7)], [], i % 2, (i // 2) % 2) for i in range(60)], "id long, nums array<double>, cats array<int>, t int, y int").cache()
+    sizes = {"gbt": {"trees": 2, "step": 0.3, "depth": 2}, "rf": {"trees": 2}}
+    out = learners.fit_predict(rows, rows, "id", "t", 1, [("y", "TwoModels_XGB_vs_RF")], sizes)
+    assert out.count() == 60

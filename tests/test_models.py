@@ -308,3 +308,21 @@ def test_forests_grow_while_boosters_do(spark, monkeypatch):
     sizes = {"gbt": {"trees": 2, "step": 0.3, "depth": 2}, "rf": {"trees": 2}}
     out = learners.fit_predict(rows, rows, "id", "t", 1, [("y", "TwoModels_XGB_vs_RF")], sizes)
     assert out.count() == 60
+
+
+def test_svm_models_are_a_task_each(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    rows = [(i, [float(i % 13), float(i % 7)], [], int(i % 13 > 6)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, nums array<double>, cats array<int>, y int").cache()
+    seen, deal = [], DataFrame.repartitionById
+    monkeypatch.setattr(DataFrame, "repartitionById", lambda self, n, c: seen.append(n) or deal(self, n, c))
+    model = svm.KernelSvms(df, "id", 2, [svm.Problem("p", "y"), svm.Problem("odd", "CASE WHEN id % 2 = 1 THEN y END")], tolerance=0.05, error=0.1)
+    assert len(model.models) == 12 and 12 in seen
+
+
+def test_targets_read_the_model_input_only(spark):
+    from churnlift.plans import modelling
+    rows = spark.createDataFrame([(i, 10.0 * i, i % 2) for i in range(8)], "CUSTOMER_ID long, Monetary double, Churn_Label_OCSVM int")
+    scores = spark.createDataFrame([(1, 0.1), (3, 0.9), (4, 0.5)], "CUSTOMER_ID long, Uplift_Score double")
+    found = modelling.targets(modelling.ModelInput(rows, 0), scores).collect()
+    assert {(r.CUSTOMER_ID, r.Monetary, r.Uplift_Score) for r in found} == {(1, 10.0, 0.1), (3, 30.0, 0.9), (5, 50.0, None), (7, 70.0, None)}
